@@ -1,0 +1,100 @@
+"""Scatter datasets: binned points and a local regression line."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from forecourt.operators.quantiles import values_at_ranks
+
+# Distances are ranked in steps of the x range divided by this.
+_DISTANCE_STEPS = 2**31 - 2
+
+
+def scatter_points(
+    df: DataFrame, x: str, y: str, x_step: float, y_step: float
+) -> DataFrame:
+    """All points of a scatter plot, counted in cells of x_step by y_step (lower corners)."""
+
+    def corner(c: str, step: float):
+        return F.floor(F.col(c).cast("double") / F.lit(float(step))).cast("bigint")
+
+    return (
+        df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+        .groupBy(corner(x, x_step).alias("x_cell"), corner(y, y_step).alias("y_cell"))
+        .agg(F.count("*").alias("n"))
+        .select("x_cell", "y_cell", "n")
+    )
+
+
+def loess(df: DataFrame, x: str, y: str, span: float = 0.3, grid: int = 50) -> DataFrame:
+    """Local linear regression of y on x at ``grid`` evenly spaced points.
+
+    Each point uses the nearest ``span`` part of all rows, weighted by the
+    tricube of their distance. Rows shrink to (x, count, sum of y) first; each
+    of those then contributes to the fixed number of grid points. The line
+    falls back to the weighted mean where the neighbours share one x.
+
+    Neighbour distances are ranked in steps of 1/2**31 of the x range.
+    """
+    xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
+    points = (
+        df.filter(xs.isNotNull() & ys.isNotNull() & ~F.isnan(xs))
+        .groupBy(xs.alias("x"))
+        .agg(F.count("*").alias("n"), F.sum(ys).alias("sy"))
+        # Always true; it keeps both sums in every branch below, so the planner
+        # computes this shuffle once and reuses it.
+        .filter((F.col("n") > 0) & F.col("sy").isNotNull())
+    )
+    edges = points.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
+    step = (hi - lo) / F.lit(grid - 1)
+    at_grid = (
+        points.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+        .withColumn("g", lo + F.col("i") * step)
+        .withColumn("u", F.col("x") - F.col("g"))
+        .withColumn(
+            "value",
+            F.coalesce(
+                F.floor(F.try_divide(F.abs("u"), hi - lo) * F.lit(_DISTANCE_STEPS)), F.lit(0)
+            ).cast("int"),
+        )
+    )
+    counts = at_grid.groupBy("i", "value").agg(F.sum("n").alias("n"))
+    nearest = F.ceil(F.lit(float(span)) * F.col("total")) - 1
+    reach = values_at_ranks(counts, ["i"], {"reach": nearest}).select("i", "total", "reach")
+    unit = (hi - lo) / F.lit(_DISTANCE_STEPS)
+    joined = (
+        at_grid.join(reach, "i")
+        .withColumn("h", (F.col("reach") + 1) * unit)
+        .withColumn("d", F.coalesce(F.try_divide(F.abs("u"), F.col("h")), F.lit(0.0)))
+        .filter(F.col("d") < 1)
+    )
+    d = F.col("d")
+    cube = F.lit(1.0) - d * d * d
+    weighted = joined.withColumn("w", cube * cube * cube).groupBy("i", "g")
+    u, w, n, sy = F.col("u"), F.col("w"), F.col("n"), F.col("sy")
+    sums = weighted.agg(
+        F.sum(n).alias("n_near"),
+        F.sum(w * n).alias("w0"),
+        F.sum(w * n * u).alias("w1"),
+        F.sum(w * n * u * u).alias("w2"),
+        F.sum(w * sy).alias("y0"),
+        F.sum(w * sy * u).alias("y1"),
+    )
+    w0, w1, w2 = F.col("w0"), F.col("w1"), F.col("w2")
+    y0, y1 = F.col("y0"), F.col("y1")
+    det = w0 * w2 - w1 * w1
+    line = F.try_divide(w2 * y0 - w1 * y1, F.when(det > F.lit(1e-9) * w0 * w2, det))
+    return sums.select(
+        "i", F.col("g").alias("x"), F.coalesce(line, y0 / w0).alias("smoothed")
+    ).orderBy("i")
+
+
+def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:
+    """The least-squares straight line of y on x, as one row."""
+    return df.agg(
+        F.count("*").alias("n"),
+        F.regr_slope(y, x).alias("slope"),
+        F.regr_intercept(y, x).alias("intercept"),
+    )
