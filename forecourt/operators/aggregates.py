@@ -122,12 +122,13 @@ def histogram(
         (F.col("lo") if lo is None else F.lit(float(lo))).alias("lo"),
         (F.col("hi") if hi is None else F.lit(float(hi))).alias("hi"),
     )
-    low = edges.select("lo").scalar() if lo is None else F.lit(float(lo))
-    high = edges.select("hi").scalar() if hi is None else F.lit(float(hi))
-    width = (high - low) / F.lit(bins)
-    place = F.least(F.floor(F.try_divide(F.col("x") - low, width)), F.lit(bins - 1))
-    filled = counts.groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin")).agg(
-        F.sum("n").alias("n")
+    ends = edges.select(F.struct("lo", "hi")).scalar()
+    width = (F.col("ends.hi") - F.col("ends.lo")) / F.lit(bins)
+    place = F.least(F.floor(F.try_divide(F.col("x") - F.col("ends.lo"), width)), F.lit(bins - 1))
+    filled = (
+        counts.withColumn("ends", ends)
+        .groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin"))
+        .agg(F.sum("n").alias("n"))
     )
     frame = edges.filter(F.col("lo").isNotNull()).select(
         F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "hi"

@@ -191,10 +191,14 @@ def _assemble(rows, design: Design) -> Moments:
 
 
 def correlation_matrix(
-    df: DataFrame, numerics: Sequence[str], categoricals: Sequence[str], label: str
+    df: DataFrame,
+    numerics: Sequence[str],
+    categoricals: Sequence[str],
+    label: str,
+    bases: dict[str, object] | None = None,
 ) -> DataFrame:
     """Pearson r of every pair of columns, dummies included, as (i, j, r) rows."""
-    design, groups = collect_moments(df, numerics, categoricals, label)
+    design, groups = collect_moments(df, numerics, categoricals, label, bases=bases)
     names = [*design.names, label]
     rows = []
     for m in groups.values():

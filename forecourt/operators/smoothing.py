@@ -46,27 +46,27 @@ def loess(df: DataFrame, x: str, y: str, span: float = 0.3, grid: int = 50) -> D
         # computes this shuffle once and reuses it.
         .filter((F.col("n") > 0) & F.col("sy").isNotNull())
     )
-    edges = points.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
-    step = (hi - lo) / F.lit(grid - 1)
+    # The range rides along as one scalar subquery.
+    edges = points.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    lo, width = F.col("edges.lo"), F.col("edges.hi") - F.col("edges.lo")
     at_grid = (
-        points.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-        .withColumn("g", lo + F.col("i") * step)
+        points.withColumn("edges", edges)
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+        .withColumn("g", lo + F.col("i") * (width / F.lit(grid - 1)))
         .withColumn("u", F.col("x") - F.col("g"))
         .withColumn(
             "value",
             F.coalesce(
-                F.floor(F.try_divide(F.abs("u"), hi - lo) * F.lit(_DISTANCE_STEPS)), F.lit(0)
+                F.floor(F.try_divide(F.abs("u"), width) * F.lit(_DISTANCE_STEPS)), F.lit(0)
             ).cast("int"),
         )
     )
     counts = at_grid.groupBy("i", "value").agg(F.sum("n").alias("n"))
     nearest = F.ceil(F.lit(float(span)) * F.col("total")) - 1
-    reach = values_at_ranks(counts, ["i"], {"reach": nearest}).select("i", "total", "reach")
-    unit = (hi - lo) / F.lit(_DISTANCE_STEPS)
+    reach = values_at_ranks(counts, ["i"], {"reach": nearest}).select("i", "reach")
     joined = (
         at_grid.join(reach, "i")
-        .withColumn("h", (F.col("reach") + 1) * unit)
+        .withColumn("h", (F.col("reach") + 1) * (width / F.lit(_DISTANCE_STEPS)))
         .withColumn("d", F.coalesce(F.try_divide(F.abs("u"), F.col("h")), F.lit(0.0)))
         .filter(F.col("d") < 1)
     )

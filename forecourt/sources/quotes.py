@@ -57,9 +57,15 @@ def register(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Replace table ``name`` by the rows of ``df`` and return the stored table."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Replace table ``name`` by the rows of ``df`` and return the stored table.
+
+    With ``folder`` the rows go to a fresh path there; otherwise to the warehouse.
+    """
+    writer = df.write.mode("overwrite").format("parquet")
+    if folder is not None:
+        writer = writer.option("path", _fresh(folder))
+    writer.saveAsTable(name)
     return load_table(df.sparkSession, name)
 
 
@@ -87,10 +93,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
+def _fresh(folder: str) -> str:
+    return os.path.join(folder, f"forecourt-{uuid.uuid4().hex}")
+
+
 def store(df: DataFrame, folder: str | None = None, fmt: str = "parquet") -> str:
     """Write ``df`` under a fresh path of the shared folder and return the path."""
-    base = folder or shared_folder(df.sparkSession)
-    path = os.path.join(base, f"forecourt-{uuid.uuid4().hex}")
+    path = _fresh(folder or shared_folder(df.sparkSession))
     writer = df.write.format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
