@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.columns import correlation, ratio
+from forecourt.functions.frames import beside
 from forecourt.operators.cleaning import sold
 
 _STATS = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
@@ -76,8 +77,9 @@ def top_k(df: DataFrame, by: str, value: str, k: int, stat: str = "sum") -> Data
 def share(df: DataFrame, by: str, top: int | None = None) -> DataFrame:
     """Rows per group and their part of all rows, largest first; ``top`` keeps the first few."""
     counts = df.groupBy(by).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    ranked = order_desc(counts.withColumn("fraction", ratio(F.col("n"), total)), "n", by)
+    with_total = beside(counts, counts.agg(F.sum("n").alias("total")))
+    fraction = ratio(F.col("n"), F.col("total")).alias("fraction")
+    ranked = order_desc(with_total.select(by, "n", fraction), "n", by)
     return ranked if top is None else ranked.limit(top)
 
 
@@ -122,18 +124,16 @@ def histogram(
         (F.col("lo") if lo is None else F.lit(float(lo))).alias("lo"),
         (F.col("hi") if hi is None else F.lit(float(hi))).alias("hi"),
     )
-    ends = edges.select(F.struct("lo", "hi")).scalar()
-    width = (F.col("ends.hi") - F.col("ends.lo")) / F.lit(bins)
-    place = F.least(F.floor(F.try_divide(F.col("x") - F.col("ends.lo"), width)), F.lit(bins - 1))
+    w = (F.col("hi") - F.col("lo")) / F.lit(bins)
+    place = F.least(F.floor(F.try_divide(F.col("x") - F.col("lo"), w)), F.lit(bins - 1))
     filled = (
-        counts.withColumn("ends", ends)
+        beside(counts, edges)
         .groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin"))
         .agg(F.sum("n").alias("n"))
     )
     frame = edges.filter(F.col("lo").isNotNull()).select(
         F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "hi"
     )
-    w = (F.col("hi") - F.col("lo")) / F.lit(bins)
     return (
         frame.join(filled, "bin", "left")
         .select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forecourt.functions.columns import key_bucket, log10_or_null
+from forecourt.functions.frames import beside
 from forecourt.operators.aggregates import make_model_key, skewness_table
 from forecourt.schema import LABEL, NUMERIC_FEATURES, SKEWED_FEATURES
 
@@ -134,16 +135,17 @@ def scale_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def standardize(df: DataFrame, cols: Sequence[str], stats_from: DataFrame | None = None) -> DataFrame:
     """Centre and divide by the population deviation of ``stats_from`` (default: the rows themselves).
 
-    The moments are a one-row scalar subquery. A constant column becomes null.
+    A constant column becomes null.
     """
     stats = scale_stats(df if stats_from is None else stats_from, cols)
 
     def scaled(c: str) -> Column:
-        mean = stats.select(f"{c}_mean").scalar()
-        std = stats.select(f"{c}_std").scalar()
-        return F.try_divide(F.col(c).cast("double") - mean, std)
+        if c not in cols:
+            return F.col(f"`{c}`")
+        centred = F.col(f"`{c}`").cast("double") - F.col(f"`{c}_mean`")
+        return F.try_divide(centred, F.col(f"`{c}_std`")).alias(c)
 
-    return df.withColumns({c: scaled(c) for c in cols})
+    return beside(df, stats).select(*[scaled(c) for c in df.columns])
 
 
 def split_name(key: str = "quote_id", train_pct: int = 70) -> Column:

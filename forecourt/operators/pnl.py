@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.columns import ratio
+from forecourt.functions.frames import beside
 from forecourt.operators.cleaning import sold
 
 
@@ -57,19 +58,17 @@ def fit_pct_to_market(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def apply_pct_to_market(df: DataFrame, fitted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add ``predicted_margin`` from learned shares.
 
-    The overall share is a one-row scalar subquery. Shares per group join on
-    the group; a group that never sold falls back to the overall share, which
-    is put together from the fitted groups.
+    The overall share is one row. Shares per group join on the group; a group
+    that never sold, or has a null in its key, falls back to the overall share.
     """
+    estimate = (F.col("_pct") * F.col("total_margin")).cast("int").alias("predicted_margin")
     if not by:
-        share = fitted.select("pct").scalar()
-        return df.withColumn("predicted_margin", (share * F.col("total_margin")).cast("int"))
-    joined = df.join(fitted.select(*by, "pct"), list(by), "left")
-    overall = fit_pct_to_market(df).select("pct").scalar()
-    return joined.withColumn(
-        "predicted_margin",
-        (F.coalesce(F.col("pct"), overall) * F.col("total_margin")).cast("int"),
-    ).drop("pct")
+        joined = beside(df, fitted.select(F.col("pct").alias("_pct")))
+        return joined.select(*df.columns, estimate)
+    overall = fit_pct_to_market(df).select(F.col("pct").alias("_overall"))
+    joined = beside(df.join(fitted.select(*by, "pct"), list(by), "left"), overall)
+    joined = joined.withColumn("_pct", F.coalesce("pct", "_overall"))
+    return joined.select(*df.columns, estimate)
 
 
 def cross_one_row(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -78,7 +77,7 @@ def cross_one_row(dfs: Sequence[DataFrame]) -> DataFrame:
     Each input must be a global aggregate; one row is always small enough to
     broadcast.
     """
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), dfs)
+    return reduce(beside, dfs)
 
 
 def rmse(df: DataFrame, actual: str, predicted: str) -> DataFrame:

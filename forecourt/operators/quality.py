@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from forecourt.functions.frames import beside
 from forecourt.operators.aggregates import _unpivot
 from forecourt.operators.quantiles import (
     quantiles,
@@ -66,11 +67,9 @@ def outliers_iqr(
     )
     if by:
         joined = df.alias("d").join(fences.alias("f"), same_group("d", "f", by))
-        low, high = F.col("f.low_fence"), F.col("f.high_fence")
     else:
-        joined = df.alias("d")
-        low, high = fences.select("low_fence").scalar(), fences.select("high_fence").scalar()
-    inside = F.col(f"d.{col}").between(low, high)
+        joined = beside(df.alias("d"), fences.alias("f"))
+    inside = F.col(f"d.{col}").between(F.col("f.low_fence"), F.col("f.high_fence"))
     wanted = inside if keep == "inliers" else ~inside
     return joined.filter(wanted).select("d.*")
 
@@ -98,8 +97,8 @@ def impute_days(
         out = out.join(medians.alias(right), same_group("d", right, keys), "left")
         found.append(F.col(f"{right}.{name}"))
     total = known.groupBy("value").agg(F.sum("n").alias("n"))
-    overall = quantiles_of_counts(total, [], {"m": 0.5}).select("m").scalar()
-    fill = F.ceil(F.coalesce(*found, overall)).cast("int")
+    out = beside(out, quantiles_of_counts(total, [], {"_m0": 0.5}).select("_m0").alias("m0"))
+    fill = F.ceil(F.coalesce(*found, F.col("m0._m0"))).cast("int")
     value = F.when(F.col(f"d.{col}") == 0, fill).otherwise(F.col(f"d.{col}"))
     return out.select("d.*", value.alias("imputed_days"))
 

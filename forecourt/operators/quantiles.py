@@ -52,23 +52,24 @@ def values_at_ranks(
     per_block = counts.groupBy(*by, block).agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*(by or [F.lit(0)]))
     upto = group.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wanted = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()])
+    targets = F.array(
+        *[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()]
     )
+
+    def held(upto: str) -> Column:
+        """The targets that fall on the rows before ``upto`` but not before those of this row."""
+        last = F.col(upto)
+        return F.filter("targets", lambda t: t["rank"].between(last - F.col("n"), last - 1))
+
     hits = (
         per_block.withColumn("total", F.sum("n").over(group))
-        .withColumn("before", F.sum("n").over(upto) - F.col("n"))
-        .select(*by, "block", "n", "total", "before", wanted.alias("w"))
-        .filter(F.col("w.rank").between(F.col("before"), F.col("before") + F.col("n") - 1))
-        .select(
-            *by,
-            "block",
-            "total",
-            F.col("w.name").alias("name"),
-            (F.col("w.rank") - F.col("before")).alias("rank"),
-        )
+        .withColumn("block_upto", F.sum("n").over(upto))
+        .withColumn("targets", targets)
+        .withColumn("targets", held("block_upto"))
+        .filter(F.size("targets") > 0)
+        .select(*by, "block", "total", "targets", (F.col("block_upto") - F.col("n")).alias("skipped"))
     )
-    inside = Window.partitionBy(*by, "name").orderBy("value")
+    inside = Window.partitionBy(*by, "block").orderBy("value")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
         counts.withColumn("block", block)
@@ -79,13 +80,13 @@ def values_at_ranks(
             # and the planner reuses its shuffle.
             same_group("c", "h", [*by, "block"]),
         )
-        .select(*[f"c.{k}" for k in by], "c.value", "c.n", "h.total", "h.name", "h.rank")
-        .withColumn("upto", F.sum("n").over(inside))
-        .filter(F.col("rank").between(F.col("upto") - F.col("n"), F.col("upto") - 1))
+        .select(*[f"c.{k}" for k in by], "c.block", "c.value", "c.n", "h.total", "h.targets", "h.skipped")
+        .withColumn("value_upto", F.sum("n").over(inside) + F.col("skipped"))
+        .select(*by, "value", "total", F.explode(held("value_upto")).alias("t"))
     )
     return found.groupBy(*by).agg(
         F.max("total").alias("total"),
-        *[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in ranks],
+        *[F.max(F.when(F.col("t.name") == k, F.col("value"))).alias(k) for k in ranks],
     )
 
 

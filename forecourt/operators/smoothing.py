@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forecourt.functions.frames import beside
 from forecourt.operators.quantiles import values_at_ranks
 
 # Distances are ranked in steps of the x range divided by this.
@@ -46,11 +47,10 @@ def loess(df: DataFrame, x: str, y: str, span: float = 0.3, grid: int = 50) -> D
         # computes this shuffle once and reuses it.
         .filter((F.col("n") > 0) & F.col("sy").isNotNull())
     )
-    # The range rides along as one scalar subquery.
-    edges = points.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-    lo, width = F.col("edges.lo"), F.col("edges.hi") - F.col("edges.lo")
+    edges = points.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    lo, width = F.col("lo"), F.col("hi") - F.col("lo")
     at_grid = (
-        points.withColumn("edges", edges)
+        beside(points, edges)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
         .withColumn("g", lo + F.col("i") * (width / F.lit(grid - 1)))
         .withColumn("u", F.col("x") - F.col("g"))

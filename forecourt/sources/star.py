@@ -5,109 +5,152 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forecourt.functions.frames import broadcast_if_small
 from forecourt.schema import QUOTE_COLUMNS
 
 
+# The columns read, with their types: no footer is opened just to infer them.
+STAR_COLUMNS = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "part": "p_partkey bigint, p_brand string, p_type string, p_size int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def quotes_from_star(spark: SparkSession, folder: str) -> DataFrame:
     """One quote per order line.
 
-    No side is hinted as broadcast: the planner and AQE broadcast on measured
-    size only, and split hot part or order keys in the sort-merge joins.
+    A side is hinted as broadcast only if its file scan is below the session's
+    threshold. Otherwise both sides shuffle on the key and AQE splits hot part
+    or order keys. Lookups join their dimension first, so order lines move at
+    most twice. Whatever depends on one table is worked out before its join:
+    the rows that move are narrow, and the generated code of the joined stage
+    stays small enough for the JIT compiler.
     """
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(STAR_COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
-    line = table("lineitem").select(
-        "l_orderkey",
-        "l_partkey",
-        "l_suppkey",
-        "l_linenumber",
-        "l_extendedprice",
-        "l_discount",
-        "l_returnflag",
-        "l_linestatus",
-        "l_shipdate",
-    )
-    part = table("part").select("p_partkey", "p_brand", "p_type", "p_size")
-    similar = part.groupBy("p_brand", "p_type").agg(F.count("*").cast("int").alias("n_sim"))
-    # Null-safe keys: a part without brand or type is similar to others like it.
-    part = (
-        part.alias("p")
-        .join(
-            similar.alias("s"),
-            F.col("p.p_brand").eqNullSafe(F.col("s.p_brand"))
-            & F.col("p.p_type").eqNullSafe(F.col("s.p_type")),
-        )
-        .select("p.*", "n_sim")
-    )
-    place = (
-        table("nation")
-        .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            "n_nationkey",
-            F.concat(F.lit("us/"), F.lower(F.substring("r_name", 1, 3))).alias("region_short_code"),
-        )
-    )
-    seller = (
-        table("customer")
-        .join(place, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", "region_short_code")
+    lines, parts, orders = table("lineitem"), table("part"), table("orders")
+    nations, customers = table("nation"), table("customer")
+    car = _cars(parts)
+    place = nations.join(table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "n_nationkey",
+        F.concat(F.lit("us/"), F.lower(F.substring("r_name", 1, 3))).alias("region_short_code"),
     )
-    order = (
-        table("orders")
-        .select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-        .join(seller, F.col("o_custkey") == F.col("c_custkey"))
-        .select("o_orderkey", "o_orderdate", "o_orderpriority", "region_short_code")
+    seller = customers.join(
+        broadcast_if_small(place, nations), F.col("c_nationkey") == F.col("n_nationkey")
+    ).select("c_custkey", "region_short_code")
+    inquiry = _inquiries(orders).join(
+        broadcast_if_small(seller, customers), F.col("o_custkey") == F.col("c_custkey")
     )
-    joined = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
-        order, F.col("l_orderkey") == F.col("o_orderkey")
+    joined = (
+        _offers(lines)
+        .join(broadcast_if_small(car, parts), F.col("l_partkey") == F.col("p_partkey"))
+        .join(broadcast_if_small(inquiry, orders), F.col("l_orderkey") == F.col("o_orderkey"))
     )
-
-    year = F.year("o_orderdate")
-    days = F.abs(F.datediff("l_shipdate", "o_orderdate"))
-    list_price = F.floor("l_extendedprice").cast("int") + F.lit(10000)
-    total = (
-        F.lit(4000)
-        - F.lit(40) * F.col("p_size")
-        + F.lit(300) * (year - F.lit(1995))
-        + F.lit(7) * (F.col("l_orderkey") % 100).cast("int")
-    )
-    sold_margin = (
+    total = F.col("car_total") + F.col("inquiry_total")
+    earned = (
         F.floor(total * F.lit(58) / F.lit(100.0)).cast("int")
-        + ((F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 4001).cast("int")
+        + ((F.col("car_luck") + F.col("offer_luck")) % 4001).cast("int")
         - F.lit(2000)
     )
     return joined.select(
-        (
-            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000
-            + F.col("l_suppkey")
-        ).alias("quote_id"),
-        F.when(F.col("l_partkey") % 97 != 0, year).alias("year"),
-        F.col("p_brand").alias("make"),
-        F.col("p_type").alias("model"),
-        (F.col("p_size") * 2500 + F.col("l_linenumber") * 137 + F.col("l_partkey") % 1000)
-        .cast("int")
-        .alias("mileage"),
-        (F.lit(10000) + F.col("l_suppkey")).cast("int").alias("location_zip"),
-        (
-            (F.lit(100) - F.lit(3) * F.round(F.col("l_discount") * 100).cast("int")).cast("double")
-            / F.lit(100.0)
-        ).alias("percent_to_market"),
-        (days % 520).cast("int").alias("market_avg_days_to_sell"),
-        F.col("n_sim").alias("n_similar_vehicles_listed"),
-        F.col("region_short_code"),
-        list_price.alias("exact_list_price"),
-        F.when(F.col("l_partkey") % 89 == 0, F.lit(None).cast("int"))
-        .when(F.col("l_partkey") % 83 == 0, F.lit(0))
-        .otherwise(list_price - total)
+        "quote_id",
+        F.when(F.col("year_known"), F.col("inquiry_year")).alias("year"),
+        "make",
+        "model",
+        (F.col("car_mileage") + F.col("offer_mileage")).alias("mileage"),
+        "location_zip",
+        "percent_to_market",
+        F.pmod(F.abs(F.datediff("ship_date", "order_date")), F.lit(520)).alias(
+            "market_avg_days_to_sell"
+        ),
+        "n_similar_vehicles_listed",
+        "region_short_code",
+        "exact_list_price",
+        F.when(F.col("price_rule") == "known", F.col("exact_list_price") - total)
+        .when(F.col("price_rule") == "zero", F.lit(0))
         .alias("wholesale_price"),
-        F.when(F.col("l_orderkey") % 101 == 0, F.lit(None).cast("string"))
+        "seller_source",
+        F.when(~F.col("returned"), F.lit(0))
+        .when(F.col("far_off"), F.lit(150000))
+        .otherwise(earned)
+        .alias("expected_margin"),
+    ).select(*QUOTE_COLUMNS)
+
+
+def _cars(parts: DataFrame) -> DataFrame:
+    """What a quote takes from its part."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    similar = parts.groupBy("p_brand", "p_type").agg(
+        F.count("*").cast("int").alias("n_similar_vehicles_listed")
+    )
+    # Null-safe keys: a part without brand or type is similar to others like it.
+    same = F.col("p.p_brand").eqNullSafe(F.col("s.p_brand")) & F.col("p.p_type").eqNullSafe(
+        F.col("s.p_type")
+    )
+    return (
+        parts.alias("p")
+        .join(broadcast_if_small(similar, parts).alias("s"), same)
+        .select(
+            "p_partkey",
+            F.col("p.p_brand").alias("make"),
+            F.col("p.p_type").alias("model"),
+            "n_similar_vehicles_listed",
+            (size * 2500 + key % 1000).cast("int").alias("car_mileage"),
+            (F.lit(4000) - F.lit(40) * size).alias("car_total"),
+            (key * 37).alias("car_luck"),
+            (key % 97 != 0).alias("year_known"),
+            (key % 499 == 0).alias("far_off"),
+            F.when(key % 89 == 0, "unknown")
+            .when(key % 83 == 0, "zero")
+            .otherwise("known")
+            .alias("price_rule"),
+        )
+    )
+
+
+def _inquiries(orders: DataFrame) -> DataFrame:
+    """What a quote takes from its order."""
+    key, year = F.col("o_orderkey"), F.year("o_orderdate")
+    return orders.select(
+        "o_orderkey",
+        "o_custkey",
+        F.to_date("o_orderdate").alias("order_date"),
+        year.alias("inquiry_year"),
+        (F.lit(300) * (year - F.lit(1995)) + F.lit(7) * (key % 100).cast("int")).alias(
+            "inquiry_total"
+        ),
+        F.when(key % 101 == 0, F.lit(None).cast("string"))
         .when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit("iOS"))
         .otherwise(F.lit("web"))
         .alias("seller_source"),
-        F.when(~((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")), F.lit(0))
-        .when(F.col("l_partkey") % 499 == 0, F.lit(150000))
-        .otherwise(sold_margin)
-        .alias("expected_margin"),
-    ).select(*QUOTE_COLUMNS)
+    )
+
+
+def _offers(lines: DataFrame) -> DataFrame:
+    """What a quote takes from its order line."""
+    number = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    off = F.lit(3) * F.round(F.col("l_discount") * 100).cast("int")
+    return lines.select(
+        "l_orderkey",
+        "l_partkey",
+        ((number * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("quote_id"),
+        (F.col("l_linenumber") * 137).alias("offer_mileage"),
+        (F.lit(10000) + F.col("l_suppkey")).cast("int").alias("location_zip"),
+        ((F.lit(100) - off).cast("double") / F.lit(100.0)).alias("percent_to_market"),
+        (F.floor("l_extendedprice").cast("int") + F.lit(10000)).alias("exact_list_price"),
+        (F.col("l_suppkey") * 11).alias("offer_luck"),
+        F.to_date("l_shipdate").alias("ship_date"),
+        ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("returned"),
+    )
