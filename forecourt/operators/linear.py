@@ -187,7 +187,9 @@ def linear_data(
     shift, factor = np.zeros(width), np.ones(width)
     std = np.sqrt(np.diag(train.cross)[:nn] / train.n)
     shift[:nn] = train.mean[:nn]
-    factor[:nn] = np.divide(1.0, std, out=np.zeros(nn), where=std > 0)
+    # A constant column scales to zeros; rounding may leave it a trace of spread.
+    varies = std > 1e-10 * np.abs(train.mean[:nn])
+    factor[:nn] = np.divide(1.0, std, out=np.zeros(nn), where=varies)
     scaled = {g: m.scaled(shift, factor) for g, m in parts.items()}
     return LinearData(design, shift, factor, scaled, folds, frame)
 

@@ -402,6 +402,10 @@ def _clean_oracles() -> dict[str, str]:
     out["one_hot_region"] = "SELECT quote_id, " + ", ".join(
         f'CAST({e} AS INT) AS "{n}"' for n, e in DUMMY.items()
     ) + " FROM sold"
+    out["one_hot_make"] = "SELECT quote_id, " + ", ".join(
+        f"CAST(CASE WHEN make = 'Brand#{i}' THEN 1 ELSE 0 END AS INT) AS \"make_Brand#{i}\""
+        for i in range(2, 26)
+    ) + " FROM sold"
     out["one_hot_source"] = (
         "SELECT quote_id, CAST(CASE WHEN seller_source = 'web' THEN 1 ELSE 0 END AS INT) "
         "AS seller_web FROM sold"
@@ -548,5 +552,6 @@ FROM ids JOIN lent ON ids.calculated_margin = lent.s"""
 def oracles() -> dict[str, str]:
     """Query name to SQL text."""
     out = {name: BASE + sql for name, sql in _clean_oracles().items()}
-    out.update({name: BASE + sql for name, sql in linear_oracles(SPLIT, FOLD, INNER).items()})
+    recursive = BASE.replace("WITH sim", "WITH RECURSIVE sim", 1)
+    out.update({name: recursive + sql for name, sql in linear_oracles(SPLIT, FOLD, INNER).items()})
     return out

@@ -1,3 +1,256 @@
-"""Linear-model queries as SQL."""
-def linear_oracles(split, fold, inner):
-    return {}
+"""Linear-model queries as SQL: cross-products by plain sums, fits by recursive coordinate descent."""
+
+from __future__ import annotations
+
+from forecourt.operators.linear import (
+    LASSO_ALPHAS,
+    NET_ALPHAS,
+    NET_RATIOS,
+    REFINE_ALPHA,
+    REFINE_RATIO,
+    RIDGE_ALPHAS,
+)
+
+REGIONS = ["us/afr", "us/ame", "us/asi", "us/eur"]
+NAMES = ["year", "mileage", "market_avg_days_to_sell", "n_similar_vehicles_listed"]
+NAMES += [f"region_short_code_{r}" for r in REGIONS]
+P = len(NAMES)
+
+
+def _values(xs) -> str:
+    return "(VALUES " + ", ".join(f"(CAST({x} AS DOUBLE))" for x in xs) + ")"
+
+
+def _data(split: str, fold: str, inner: str, logs: bool = True, where: str = "true") -> str:
+    """Row sets with their size, means and covariances.
+
+    A set is named by its path: ``train/-0/1`` holds train rows outside fold 0
+    and inside inner fold 1.
+    """
+    days = "log10(market_avg_days_to_sell)" if logs else "market_avg_days_to_sell"
+    similar = "log10(n_similar_vehicles_listed)" if logs else "n_similar_vehicles_listed"
+    raw = ["1", "year", "mileage", days, similar]
+    raw += [f"CASE WHEN region_short_code = '{r}' THEN 1 ELSE 0 END" for r in REGIONS]
+    raw += ["expected_margin"]
+    items = ", ".join(f"CAST({c} AS DOUBLE)" for c in raw)
+    stats = ", ".join(f"avg(v[{i}]) AS m{i}, stddev_pop(v[{i}]) AS s{i}" for i in range(2, 6))
+    scaled = ["1.0e0", *[f"coalesce((v[{i}] - m{i}) / NULLIF(s{i}, 0), 0)" for i in range(2, 6)]]
+    scaled += [f"v[{i}]" for i in range(6, P + 2)] + [f"v[{P + 2}] - ym"]
+    return f""",
+feat AS MATERIALIZED (SELECT quote_id, expected_margin, {split} AS split, {fold} AS fold,
+  {inner} AS inn, [{items}] AS v FROM clean WHERE {where}),
+known AS (SELECT * FROM feat WHERE expected_margin <> 0),
+st AS MATERIALIZED (SELECT {stats}, avg(v[{P + 2}]) AS ym FROM known WHERE split = 'train'),
+zall AS MATERIALIZED (SELECT quote_id, expected_margin, split, fold, inn,
+  [{", ".join(scaled)}] AS v, ym FROM feat, st),
+z AS (SELECT * FROM zall WHERE expected_margin <> 0),
+g AS MATERIALIZED (SELECT split, fold, inn, i, j, sum(v[i] * v[j]) AS s
+  FROM z, range(1, {P + 3}) a(i), range(1, {P + 3}) b(j) GROUP BY ALL),
+cells AS (SELECT DISTINCT split, fold, inn FROM g),
+member AS (
+  SELECT split AS sid, * FROM cells
+  UNION ALL SELECT split || '/-' || k, c.* FROM cells c, range(3) t(k) WHERE fold <> k
+  UNION ALL SELECT split || '/' || k, c.* FROM cells c, range(3) t(k) WHERE fold = k
+  UNION ALL SELECT split || '/-' || k || '/-' || h, c.* FROM cells c, range(3) t(k), range(3) u(h)
+    WHERE fold <> k AND inn <> h
+  UNION ALL SELECT split || '/-' || k || '/' || h, c.* FROM cells c, range(3) t(k), range(3) u(h)
+    WHERE fold <> k AND inn = h),
+gs AS MATERIALIZED (SELECT sid, i, j, sum(s) AS s FROM member JOIN g USING (split, fold, inn)
+  GROUP BY ALL),
+n AS (SELECT sid, s AS n FROM gs WHERE i = 1 AND j = 1),
+mu AS (SELECT gs.sid, i, s / n AS m FROM gs JOIN n USING (sid) WHERE j = 1),
+cov AS MATERIALIZED (SELECT gs.sid, gs.i, gs.j, gs.s / n.n - a.m * b.m AS s FROM gs
+  JOIN n USING (sid) JOIN mu a ON a.sid = gs.sid AND a.i = gs.i
+  JOIN mu b ON b.sid = gs.sid AND b.i = gs.j),
+line AS MATERIALIZED (SELECT sid, j - 1 AS j,
+    list(s ORDER BY i) FILTER (i BETWEEN 2 AND {P + 1}) AS xx,
+    max(s) FILTER (i = {P + 2}) AS xy
+  FROM cov WHERE j BETWEEN 2 AND {P + 1} GROUP BY sid, j),
+tot AS MATERIALIZED (SELECT n.sid, any_value(n.n) AS n,
+    list(mu.m ORDER BY mu.i) FILTER (mu.i BETWEEN 2 AND {P + 1}) AS xm,
+    max(mu.m) FILTER (mu.i = {P + 2}) AS ym, any_value(c.s) AS yy
+  FROM n JOIN mu USING (sid) JOIN cov c ON c.sid = n.sid AND c.i = {P + 2} AND c.j = {P + 2}
+  GROUP BY n.sid),
+scope AS (
+  SELECT 'train' AS scope, 'train/-' || h AS tr, 'train/' || h AS ev FROM range(3) t(h)
+  UNION ALL SELECT s || '/-' || k, s || '/-' || k || '/-' || h, s || '/-' || k || '/' || h
+  FROM (VALUES ('train'), ('test')) v(s), range(3) t(k), range(3) u(h))"""
+
+
+def _fits(name: str, tasks: str, sweeps: int) -> str:
+    """Fit every row (scope, tr, ev, ratio, alpha, l1, l2) of ``tasks``; adds weights and intercept."""
+    steps = sweeps * P
+    pull = "(q.xy - list_dot_product(q.xx, r.w) + q.xx[q.j] * r.w[q.j])"
+    curve = "(q.xx[q.j] + r.l2)"
+    new = f"CASE WHEN {curve} > 1e-20 THEN sign({pull}) * greatest(abs({pull}) - r.l1, 0) / {curve} ELSE 0 END"
+    return f""",
+{name}_r AS (
+  SELECT *, 0 AS step, [{", ".join(["0.0e0"] * P)}] AS w FROM ({tasks})
+  UNION ALL
+  SELECT r.scope, r.tr, r.ev, r.ratio, r.alpha, r.l1, r.l2, r.step + 1,
+    [CASE WHEN k = q.j THEN {new} ELSE r.w[k] END for k in range(1, {P + 1})]
+  FROM {name}_r r JOIN line q ON q.sid = r.tr AND q.j = r.step % {P} + 1
+  WHERE r.step < {steps}),
+{name} AS MATERIALIZED (SELECT r.*, t.ym - list_dot_product(r.w, t.xm) AS b
+  FROM {name}_r r JOIN tot t ON t.sid = r.tr WHERE r.step = {steps})"""
+
+
+def _errors(name: str, fits: str) -> str:
+    """Mean squared error and R2 of every fit on its evaluation set."""
+    return f""",
+{name} AS MATERIALIZED (SELECT *, 1 - mse / NULLIF(yy, 0) AS r2 FROM (
+  SELECT f.scope, f.tr, f.ev, f.ratio, f.alpha, any_value(t.yy) AS yy,
+    any_value(power(t.ym - f.b - list_dot_product(f.w, t.xm), 2)) + any_value(t.yy)
+      + sum(f.w[q.j] * (list_dot_product(q.xx, f.w) - 2 * q.xy)) AS mse
+  FROM {fits} f JOIN tot t ON t.sid = f.ev JOIN line q ON q.sid = f.ev
+  GROUP BY f.scope, f.tr, f.ev, f.ratio, f.alpha))"""
+
+
+def _penalty(kind: str) -> str:
+    if kind == "ridge":
+        return "CAST(0 AS DOUBLE) AS l1, alpha / n AS l2"
+    return "alpha * ratio AS l1, alpha * (1 - ratio) AS l2"
+
+
+def _search(name: str, kind: str, grid: str, scopes: str, loss: str, sweeps: int) -> str:
+    """Fit a grid (scope, ratio, alpha) over the folds; ``name`` holds the winner per scope."""
+    tasks = f"""SELECT s.scope, s.tr, s.ev, c.ratio, c.alpha, {_penalty(kind)}
+    FROM scope s JOIN tot ON tot.sid = s.tr JOIN ({grid}) c ON c.scope = s.scope
+    WHERE {scopes}"""
+    return (
+        _fits(f"{name}_f", tasks, sweeps)
+        + _errors(f"{name}_e", f"{name}_f")
+        + f""",
+{name} AS MATERIALIZED (SELECT scope, arg_min(ratio, loss) AS ratio, arg_min(alpha, loss) AS alpha
+  FROM (SELECT scope, ratio, alpha, avg({loss}) AS loss FROM {name}_e GROUP BY ALL)
+  GROUP BY scope)"""
+    )
+
+
+def _final(kind: str, winners: str, sweeps: int) -> str:
+    """Fits on the whole train set and, per scope, on the rows its fold leaves; then their errors."""
+    penalty = "0.0e0 AS l1, 0.0e0 AS l2" if kind == "ols" else _penalty(kind)
+    tasks = f"""SELECT c.scope, c.scope AS tr, CASE WHEN c.scope = 'train' THEN 'train'
+      ELSE replace(c.scope, '/-', '/') END AS ev, c.ratio, c.alpha, {penalty}
+    FROM ({winners}) c JOIN tot ON tot.sid = c.scope"""
+    return (
+        _fits("fin", tasks, sweeps)
+        + """,
+fin_all AS (SELECT * FROM fin UNION ALL SELECT * REPLACE ('test' AS ev) FROM fin
+  WHERE scope = 'train')"""
+        + _errors("err", "fin_all")
+    )
+
+
+def _fit_sql(kind: str, sweeps: int = 60) -> str:
+    """All searches of a model and its final fits."""
+    refine = _values(REFINE_ALPHA)
+    if kind == "ols":
+        none = "SELECT DISTINCT scope, CAST(NULL AS DOUBLE) AS ratio, CAST(NULL AS DOUBLE) AS alpha FROM scope"
+        return _final("ols", none, sweeps)
+    if kind in ("ridge", "lasso"):
+        alphas = RIDGE_ALPHAS if kind == "ridge" else LASSO_ALPHAS
+        ratio = "CAST(NULL AS DOUBLE)" if kind == "ridge" else "CAST(1 AS DOUBLE)"
+        coarse = f"SELECT 'train' AS scope, {ratio} AS ratio, a AS alpha FROM {_values(alphas)} v(a)"
+        fine = f"""SELECT DISTINCT s.scope, c.ratio, c.alpha * m AS alpha
+          FROM scope s, coarse c, {refine} v(m)"""
+        loss = "1 - r2" if kind == "ridge" else "mse"
+        return (
+            _search("coarse", kind, coarse, "s.scope = 'train'", "mse", sweeps)
+            + _search("fine", kind, fine, "true", loss, sweeps)
+            + _final(kind, "SELECT * FROM fine", sweeps)
+        )
+    grid = f"{_values(NET_ALPHAS)} a(alpha)"
+    first = f"SELECT 'train' AS scope, ratio, alpha FROM {_values(NET_RATIOS)} r(ratio), {grid}"
+    second = f"""SELECT DISTINCT 'train' AS scope, least(c.ratio * m, 1) AS ratio, a.alpha
+      FROM first c, {_values(REFINE_RATIO)} v(m), {grid}"""
+    third = f"""SELECT DISTINCT s.scope, c.ratio, c.alpha * m AS alpha
+      FROM scope s, second c, {refine} v(m)"""
+    return (
+        _search("first", kind, first, "s.scope = 'train'", "mse", sweeps)
+        + _search("second", kind, second, "s.scope = 'train'", "mse", sweeps)
+        + _search("third", kind, third, "true", "mse", sweeps)
+        + _final(kind, "SELECT * FROM third", sweeps)
+    )
+
+
+def _report(kind: str) -> str:
+    ratio = "CAST(1 AS DOUBLE)" if kind == "lasso" else "w.ratio"
+    cv = "(SELECT round(avg(sqrt(greatest(mse, 0))), 4) FROM err WHERE starts_with(scope, '{}/'))"
+    return f"""
+SELECT '{kind}' AS model, round(w.alpha, 4) AS alpha, round({ratio}, 4) AS l1_ratio,
+  round(sqrt(greatest(a.mse, 0)), 4) AS train_rmse, round(a.r2, 4) AS train_r2,
+  {cv.format('train')} AS cv_rmse_train, {cv.format('test')} AS cv_rmse_test,
+  round(sqrt(b.mse), 4) AS holdout_rmse, round(b.r2, 4) AS holdout_r2
+FROM fin w JOIN err a ON a.scope = 'train' AND a.ev = 'train'
+LEFT JOIN err b ON b.scope = 'train' AND b.ev = 'test'
+WHERE w.scope = 'train'"""
+
+
+_NAME_LIST = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
+
+COEFFICIENTS = f"""
+SELECT CAST(row_number() OVER (ORDER BY c, f) - 1 AS INT) AS position, f AS feature,
+  round(c, 4) AS coefficient
+FROM (SELECT unnest(w) AS c, unnest({_NAME_LIST}) AS f FROM fin WHERE scope = 'train')
+UNION ALL
+SELECT CAST({P} AS INT), '(intercept)', round(b + ym, 4) FROM fin, st WHERE scope = 'train'"""
+
+PREDICTED = f""",
+predicted AS (SELECT quote_id, expected_margin, split,
+    zall.ym + f.b + list_dot_product(f.w, zall.v[2:{P + 1}]) AS prediction
+  FROM zall, (SELECT w, b FROM fin WHERE scope = 'train') f)"""
+
+
+def _scores(model: str) -> str:
+    err = "power(expected_margin - prediction, 2)"
+    return f"""SELECT '{model}, ' || split AS model, count(*) AS n,
+  round(sqrt(avg({err})), 4) AS rmse, round(1 - avg({err}) / var_pop(expected_margin), 4) AS r2
+FROM predicted WHERE expected_margin <> 0 GROUP BY split"""
+
+
+def linear_oracles(split: str, fold: str, inner: str) -> dict[str, str]:
+    """Query name to the SQL that follows the cleaned-quotes tables."""
+    data = _data(split, fold, inner)
+    out: dict[str, str] = {}
+    for kind in ("ols", "ridge", "lasso", "elastic_net"):
+        fitted = data + _fit_sql(kind)
+        out[f"{kind}_report"] = fitted + _report(kind)
+        out[f"{kind}_coefficients"] = fitted + COEFFICIENTS
+    segment = "make = 'Brand#8' AND model = 'PROMO'"
+    out["ols_segment_report"] = (
+        _data(split, fold, inner, where=segment) + _fit_sql("ols", 400) + _report("ols")
+    )
+    ols = data + _fit_sql("ols") + PREDICTED
+    out["ols_predictions"] = (
+        ols + " SELECT quote_id, expected_margin, round(prediction, 4) AS prediction FROM predicted"
+        " WHERE expected_margin <> 0"
+    )
+    out["ols_predicted_line"] = (
+        ols + " SELECT count(*) AS n, round(regr_slope(prediction, expected_margin), 4) AS slope,"
+        " round(regr_intercept(prediction, expected_margin), 4) AS intercept FROM predicted"
+        " WHERE expected_margin <> 0 AND split = 'train'"
+    )
+    out["ols_unsold_scores"] = (
+        ols + " SELECT count(*) AS n, round(avg(prediction), 4) AS avg_prediction FROM predicted"
+        " WHERE expected_margin = 0"
+    )
+    pmm = "power(CAST(expected_margin AS DOUBLE) - calculated_margin, 2)"
+    out["model_comparison"] = ols + f"""
+SELECT 'pmm, ' || {split} AS model, count(*) AS n, round(sqrt(avg({pmm})), 4) AS rmse,
+  round(1 - avg({pmm}) / var_pop(expected_margin), 4) AS r2 FROM sold GROUP BY {split}
+UNION ALL {_scores('ols')}"""
+    raw = _data(split, fold, inner, logs=False) + _fit_sql("ols", 100) + PREDICTED
+    out["linear_ml_scores"] = raw + " " + _scores("linear")
+    out["linear_ml_cross_validated"] = raw + " " + _scores("linear, cross-validated")
+    out["linear_ml_residuals"] = (
+        raw + " SELECT count(*) AS n, round(avg(r), 4) + 0 AS mean, round(stddev_pop(r), 4) AS std,"
+        " round(min(r), 4) AS lowest, round(max(r), 4) AS highest FROM (SELECT"
+        " expected_margin - prediction AS r FROM predicted"
+        " WHERE expected_margin <> 0 AND split = 'train')"
+    )
+    one = (
+        _data(split, fold, inner, logs=False, where=segment) + _fit_sql("ols", 400) + PREDICTED
+    )
+    out["linear_ml_segment_scores"] = one + " " + _scores("linear")
+    return out

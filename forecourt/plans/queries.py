@@ -274,7 +274,7 @@ def _(df):
 
 @on_sold("one_hot_make")
 def _(df):
-    return fe.one_hot(df.select("quote_id", "make"), "make")
+    return fe.one_hot(df.select("quote_id", "make"), "make", MAKES[0])
 
 
 @on_sold("one_hot_source")
