@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 def all_present(cols) -> Column:
     """True where every named column is not null. NaN counts as present."""
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    return F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in cols))
 
 
 def percent_of(amount: Column, pct) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.operators.features import fold
+from forecourt.sources.quotes import stored
 
 LABEL = "label"
 
@@ -126,7 +127,7 @@ def lr_grid(estimator: Pipeline, reg: Sequence[float] = (), mix: Sequence[float]
 
 
 def cross_validate(
-    estimator: Pipeline,
+    estimator: Estimator,
     df: DataFrame,
     grid: Sequence | None = None,
     k: int = 3,
@@ -149,6 +150,44 @@ def cross_validate(
     return cv.fit(df)
 
 
+def wide_search(
+    train: DataFrame,
+    categoricals: Sequence[str],
+    numerics: Sequence[str],
+    kind: str,
+    alphas: Sequence[float],
+    ratios: Sequence[float] = (1.0,),
+    key: str = "quote_id",
+    k: int = 3,
+) -> tuple[PipelineModel, float, float]:
+    """Ridge (``"ridge"``), lasso or elastic net search for matrices too wide to solve on the driver.
+
+    Features stay sparse vectors and Spark's distributed solver fits them; use
+    it where ``linear.linear_data`` raises ``TooWide``. Returns the fitted
+    pipeline with the winning strength and mix. Penalties mean the same as in
+    ``linear``; folds share one feature fit, as they do there.
+    """
+    features = feature_stages(categoricals, numerics).fit(train)
+    rows = stored(features.transform(train).select(key, LABEL, "features"))
+    stats = rows.agg(F.count("*").alias("n"), F.stddev_samp(LABEL).alias("std")).first()
+    lr = LinearRegression(solver="l-bfgs", standardization=False, tol=1e-9, maxIter=1000)
+
+    def params(alpha: float, ratio: float, n: float) -> dict:
+        if kind == "ridge":
+            return {lr.regParam: alpha * stats["std"] / n, lr.elasticNetParam: 0.0}
+        # Spark weighs the squared part by the label's deviation.
+        strength = alpha * ratio + alpha * (1 - ratio) * stats["std"]
+        return {lr.regParam: strength, lr.elasticNetParam: alpha * ratio / strength}
+
+    candidates = [(a, r) for r in ratios for a in alphas]
+    inside = stats["n"] * (k - 1) / k
+    tuned = cross_validate(lr, rows, [params(a, r, inside) for a, r in candidates], k, key)
+    scores = list(tuned.avgMetrics)
+    alpha, ratio = candidates[scores.index(min(scores))]
+    best = lr.fit(rows, params(alpha, ratio, stats["n"]))
+    return PipelineModel(stages=[features, best]), alpha, ratio
+
+
 def train_validation_split(
     estimator: Pipeline, df: DataFrame, grid: Sequence | None = None, ratio: float = 0.66, seed: int = 1
 ):

@@ -42,10 +42,8 @@ def quotes_from_star(spark: SparkSession, folder: str) -> DataFrame:
 
     lines, parts, orders = table("lineitem"), table("part"), table("orders")
     nations, customers = table("nation"), table("customer")
-    car = _cars(parts)
-    place = nations.join(table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
-        "n_nationkey",
-        F.concat(F.lit("us/"), F.lower(F.substring("r_name", 1, 3))).alias("region_short_code"),
+    place = nations.join(table("region"), F.col("n_regionkey") == F.col("r_regionkey")).selectExpr(
+        "n_nationkey", "concat('us/', lower(substring(r_name, 1, 3))) AS region_short_code"
     )
     seller = customers.join(
         broadcast_if_small(place, nations), F.col("c_nationkey") == F.col("n_nationkey")
@@ -55,102 +53,80 @@ def quotes_from_star(spark: SparkSession, folder: str) -> DataFrame:
     )
     joined = (
         _offers(lines)
-        .join(broadcast_if_small(car, parts), F.col("l_partkey") == F.col("p_partkey"))
+        .join(broadcast_if_small(_cars(parts), parts), F.col("l_partkey") == F.col("p_partkey"))
         .join(broadcast_if_small(inquiry, orders), F.col("l_orderkey") == F.col("o_orderkey"))
     )
-    total = F.col("car_total") + F.col("inquiry_total")
-    earned = (
-        F.floor(total * F.lit(58) / F.lit(100.0)).cast("int")
-        + ((F.col("car_luck") + F.col("offer_luck")) % 4001).cast("int")
-        - F.lit(2000)
-    )
-    return joined.select(
+    return joined.selectExpr(
         "quote_id",
-        F.when(F.col("year_known"), F.col("inquiry_year")).alias("year"),
+        "IF(year_known, inquiry_year, NULL) AS year",
         "make",
         "model",
-        (F.col("car_mileage") + F.col("offer_mileage")).alias("mileage"),
+        "car_mileage + offer_mileage AS mileage",
         "location_zip",
         "percent_to_market",
-        F.pmod(F.abs(F.datediff("ship_date", "order_date")), F.lit(520)).alias(
-            "market_avg_days_to_sell"
-        ),
+        "pmod(abs(datediff(ship_date, order_date)), 520) AS market_avg_days_to_sell",
         "n_similar_vehicles_listed",
         "region_short_code",
         "exact_list_price",
-        F.when(F.col("price_rule") == "known", F.col("exact_list_price") - total)
-        .when(F.col("price_rule") == "zero", F.lit(0))
-        .alias("wholesale_price"),
+        "CASE price_rule WHEN 'known' THEN exact_list_price - (car_total + inquiry_total) "
+        "WHEN 'zero' THEN 0 END AS wholesale_price",
         "seller_source",
-        F.when(~F.col("returned"), F.lit(0))
-        .when(F.col("far_off"), F.lit(150000))
-        .otherwise(earned)
-        .alias("expected_margin"),
+        "CASE WHEN NOT returned THEN 0 WHEN far_off THEN 150000 "
+        "ELSE CAST(floor((car_total + inquiry_total) * 58 / 100.0D) AS int) "
+        "+ CAST((car_luck + offer_luck) % 4001 AS int) - 2000 END AS expected_margin",
     ).select(*QUOTE_COLUMNS)
 
 
 def _cars(parts: DataFrame) -> DataFrame:
     """What a quote takes from its part."""
-    key, size = F.col("p_partkey"), F.col("p_size")
     similar = parts.groupBy("p_brand", "p_type").agg(
         F.count("*").cast("int").alias("n_similar_vehicles_listed")
     )
     # Null-safe keys: a part without brand or type is similar to others like it.
-    same = F.col("p.p_brand").eqNullSafe(F.col("s.p_brand")) & F.col("p.p_type").eqNullSafe(
-        F.col("s.p_type")
-    )
+    same = F.expr("p.p_brand <=> s.p_brand AND p.p_type <=> s.p_type")
     return (
         parts.alias("p")
         .join(broadcast_if_small(similar, parts).alias("s"), same)
-        .select(
+        .selectExpr(
             "p_partkey",
-            F.col("p.p_brand").alias("make"),
-            F.col("p.p_type").alias("model"),
+            "p.p_brand AS make",
+            "p.p_type AS model",
             "n_similar_vehicles_listed",
-            (size * 2500 + key % 1000).cast("int").alias("car_mileage"),
-            (F.lit(4000) - F.lit(40) * size).alias("car_total"),
-            (key * 37).alias("car_luck"),
-            (key % 97 != 0).alias("year_known"),
-            (key % 499 == 0).alias("far_off"),
-            F.when(key % 89 == 0, "unknown")
-            .when(key % 83 == 0, "zero")
-            .otherwise("known")
-            .alias("price_rule"),
+            "CAST(p_size * 2500 + p_partkey % 1000 AS int) AS car_mileage",
+            "4000 - 40 * p_size AS car_total",
+            "p_partkey * 37 AS car_luck",
+            "p_partkey % 97 != 0 AS year_known",
+            "p_partkey % 499 = 0 AS far_off",
+            "CASE WHEN p_partkey % 89 = 0 THEN 'unknown' WHEN p_partkey % 83 = 0 THEN 'zero' "
+            "ELSE 'known' END AS price_rule",
         )
     )
 
 
 def _inquiries(orders: DataFrame) -> DataFrame:
     """What a quote takes from its order."""
-    key, year = F.col("o_orderkey"), F.year("o_orderdate")
-    return orders.select(
+    return orders.selectExpr(
         "o_orderkey",
         "o_custkey",
-        F.to_date("o_orderdate").alias("order_date"),
-        year.alias("inquiry_year"),
-        (F.lit(300) * (year - F.lit(1995)) + F.lit(7) * (key % 100).cast("int")).alias(
-            "inquiry_total"
-        ),
-        F.when(key % 101 == 0, F.lit(None).cast("string"))
-        .when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit("iOS"))
-        .otherwise(F.lit("web"))
-        .alias("seller_source"),
+        "to_date(o_orderdate) AS order_date",
+        "year(o_orderdate) AS inquiry_year",
+        "300 * (year(o_orderdate) - 1995) + 7 * CAST(o_orderkey % 100 AS int) AS inquiry_total",
+        "CASE WHEN o_orderkey % 101 = 0 THEN NULL "
+        "WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'iOS' ELSE 'web' END AS seller_source",
     )
 
 
 def _offers(lines: DataFrame) -> DataFrame:
     """What a quote takes from its order line."""
-    number = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    off = F.lit(3) * F.round(F.col("l_discount") * 100).cast("int")
-    return lines.select(
+    return lines.selectExpr(
         "l_orderkey",
         "l_partkey",
-        ((number * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("quote_id"),
-        (F.col("l_linenumber") * 137).alias("offer_mileage"),
-        (F.lit(10000) + F.col("l_suppkey")).cast("int").alias("location_zip"),
-        ((F.lit(100) - off).cast("double") / F.lit(100.0)).alias("percent_to_market"),
-        (F.floor("l_extendedprice").cast("int") + F.lit(10000)).alias("exact_list_price"),
-        (F.col("l_suppkey") * 11).alias("offer_luck"),
-        F.to_date("l_shipdate").alias("ship_date"),
-        ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("returned"),
+        "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS quote_id",
+        "l_linenumber * 137 AS offer_mileage",
+        "CAST(10000 + l_suppkey AS int) AS location_zip",
+        "CAST(100 - 3 * CAST(round(l_discount * 100) AS int) AS double) / 100.0D AS percent_to_market",
+        "CAST(floor(l_extendedprice) AS int) + 10000 AS exact_list_price",
+        "l_suppkey * 11 AS offer_luck",
+        "to_date(l_shipdate) AS ship_date",
+        "l_returnflag = 'R' AND l_linestatus = 'F' AS returned",
     )
