@@ -37,8 +37,9 @@ def feature_stages(
     """Index and encode categoricals, scale numerics by sample deviation, join both as ``features``.
 
     Levels are indexed by frequency and the last slot is dropped. With
-    ``unseen="error"`` that is the rarest level; with ``"keep"`` it is an extra
-    slot for levels the fit has not seen, so new levels score as all zeros.
+    ``unseen="error"`` that is the rarest level, and ``predict`` scores new
+    levels; with ``"keep"`` it is an extra slot for levels the fit has not
+    seen, which folds need that refit this pipeline.
     """
     index = [
         StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid=unseen) for c in categoricals
@@ -256,9 +257,28 @@ def training_summary(model: Model, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "metric string, step int, value double")
 
 
+def predict(model: Model, df: DataFrame) -> DataFrame:
+    """Apply a fitted pipeline; a level it has not seen counts as the rarest one it has.
+
+    That is the level the encoder drops, so the row gets no dummy at all.
+    """
+    pipeline = _pipeline(model)
+    for stage in _flat(pipeline):
+        if type(stage).__name__ == "StringIndexerModel" and stage.getHandleInvalid() == "error":
+            c, labels = F.col(stage.getInputCol()), list(stage.labels)
+            df = df.withColumn(stage.getInputCol(), F.when(c.isin(labels), c).otherwise(labels[-1]))
+    return pipeline.transform(df)
+
+
+def _flat(model: Model) -> list:
+    if isinstance(model, PipelineModel):
+        return [s for stage in model.stages for s in _flat(stage)]
+    return [model]
+
+
 def score_unsold(model: Model, df: DataFrame) -> DataFrame:
     """Predicted margin of quotes that were not sold."""
-    return model.transform(df.filter(F.col("expected_margin") == 0))
+    return predict(model, df.filter(F.col("expected_margin") == 0))
 
 
 def pca(df: DataFrame, numerics: Sequence[str], k: int = 2) -> DataFrame:
@@ -313,7 +333,7 @@ def out_of_fold(
 
 def _predictions(model: Model, df: DataFrame, name: str, keep: Sequence[str]) -> DataFrame:
     done = [c for c in df.columns if c not in keep]
-    return model.transform(df).select(*keep, *done, F.col("prediction").alias(name))
+    return predict(model, df).select(*keep, *done, F.col("prediction").alias(name))
 
 
 class Stack:

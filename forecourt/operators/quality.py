@@ -87,18 +87,21 @@ def impute_days(
     """
     by = list(by)
     known = value_counts(df.filter(F.col(col) != 0), by, col)
+    sets = [[*by[:depth], "value"] for depth in range(len(by) + 1)]
+    depth = len(by) - sum((F.grouping(k).cast("int") for k in by), F.lit(0))
+    counts = known.groupingSets(sets, *by, "value").agg(
+        F.sum("n").alias("n"), depth.alias("depth")
+    )
+    medians = quantiles_of_counts(counts, ["depth", *by], {"median": 0.5})
     out, found = df.alias("d"), []
     for depth in range(len(by), 0, -1):
-        keys = by[:depth]
-        counts = known if depth == len(by) else known.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
-        name = f"_m{depth}"
-        medians = quantiles_of_counts(counts, keys, {name: 0.5}).select(*keys, name)
-        right = f"m{depth}"
-        out = out.join(medians.alias(right), same_group("d", right, keys), "left")
-        found.append(F.col(f"{right}.{name}"))
-    total = known.groupBy("value").agg(F.sum("n").alias("n"))
-    out = beside(out, quantiles_of_counts(total, [], {"_m0": 0.5}).select("_m0").alias("m0"))
-    fill = F.ceil(F.coalesce(*found, F.col("m0._m0"))).cast("int")
+        keys, right = by[:depth], f"m{depth}"
+        level = medians.filter(F.col("depth") == depth).select(*keys, "median")
+        out = out.join(level.alias(right), same_group("d", right, keys), "left")
+        found.append(F.col(f"{right}.median"))
+    overall = medians.filter("depth = 0").agg(F.max("median").alias("median"))
+    out = beside(out, overall.alias("m0"))
+    fill = F.ceil(F.coalesce(*found, F.col("m0.median"))).cast("int")
     value = F.when(F.col(f"d.{col}") == 0, fill).otherwise(F.col(f"d.{col}"))
     return out.select("d.*", value.alias("imputed_days"))
 
