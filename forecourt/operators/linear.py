@@ -172,16 +172,17 @@ def linear_data(
     bases: dict[str, object] | None = None,
 ) -> LinearData:
     """Split by key hash, gather moments in one job and scale numerics by the train rows."""
-    frame = df.withColumns(
-        {
-            "_split": split_name(key, train_pct),
-            "_fold": fold(key, folds, 1),
-            "_inner": fold(key, folds, 2),
-        }
-    )
-    design, parts = collect_moments(
-        frame, numerics, categoricals, label, ["_split", "_fold", "_inner"], bases
-    )
+    outer, inner = fold(key, folds, 1), fold(key, folds, 2)
+    split = split_name(key, train_pct)
+    # One small number for split and folds keeps the grouping code short: past
+    # 8000 bytes the JVM would no longer compile the whole stage.
+    part = F.when(split == "train", 0).otherwise(folds * folds) + outer * folds + inner
+    frame = df.withColumns({"_split": split, "_part": part})
+    design, coded = collect_moments(frame, numerics, categoricals, label, ["_part"], bases)
+    parts = {}
+    for (code,), m in coded.items():
+        at, rest = divmod(code, folds * folds)
+        parts[(("train", "test")[at], *divmod(rest, folds))] = m
     train = merged([m for (s, _, _), m in parts.items() if s == "train"])
     width, nn = len(design.names) + 1, len(design.numerics)
     shift, factor = np.zeros(width), np.ones(width)

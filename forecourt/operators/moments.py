@@ -2,9 +2,10 @@
 
 Dummy columns are never built. Rows are grouped by split, folds and levels;
 inside such a cell every dummy is constant, so the means and covariances of
-the numeric columns per cell carry everything the full matrix would. Spark
-does that with its own covariance aggregates, which update and merge around
-the running mean and so keep their digits on any number of rows.
+the numeric columns per cell carry everything the full matrix would. They come
+from plain sums of values and products, which partial aggregation combines
+before the shuffle. Values are taken from an origin near the data, so that the
+sums keep their digits: a year counts from 2000.
 """
 
 from __future__ import annotations
@@ -26,13 +27,18 @@ MAX_CELLS = 500_000
 MAX_COLUMNS = 1_000
 
 
+# Where columns with a small spread around a large value count from. Other
+# columns count from zero.
+ORIGINS = {"year": 2000.0}
+
+
 class TooWide(ValueError):
     """The design matrix has more columns or cells than a driver-side solve should hold."""
 
 
 @dataclass(frozen=True)
 class Moments:
-    """Row count, column means and centred cross-products of some rows."""
+    """Row count, column means and cross-products around the means, of some rows."""
 
     n: float
     mean: np.ndarray
@@ -84,21 +90,27 @@ def moment_cells(
     categoricals: Sequence[str],
     label: str,
     groups: Sequence[str] = (),
+    origins: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Count, means and covariances of numerics and label per group and level cell.
+    """Count, sums and sums of products of numerics and label per group and level cell.
 
     With three or more categorical columns the cells are the pairs of columns,
     which is all a cross-product needs, so their number stays below the square
     of the matrix width.
     """
     cols = [*numerics, label]
+    origins = ORIGINS if origins is None else origins
+    shifted = [
+        f"CAST(`{c}` AS double)" + (f" - {origins[c]}D" if origins.get(c) else "") + f" AS x{i}"
+        for i, c in enumerate(cols)
+    ]
     aggs = [F.count("*").alias("n")]
-    for i, a in enumerate(cols):
-        aggs.append(F.avg(F.col(f"`{a}`").cast("double")).alias(f"m{i}"))
+    for i in range(len(cols)):
+        aggs.append(F.sum(f"x{i}").alias(f"s{i}"))
         for j in range(i, len(cols)):
-            x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{cols[j]}`").cast("double")
-            aggs.append(F.covar_pop(x, y).alias(f"c{i}_{j}"))
-    df = complete_cases(df, [*cols, *categoricals]).select(*groups, *categoricals, *cols)
+            aggs.append(F.expr(f"sum(x{i} * x{j})").alias(f"p{i}_{j}"))
+    keys = [f"`{c}`" for c in [*groups, *categoricals]]
+    df = complete_cases(df, [*cols, *categoricals]).selectExpr(*keys, *shifted)
     if len(categoricals) <= 2:
         return df.groupBy(*groups, *categoricals).agg(*aggs)
     pairs = [[*groups, *pair] for pair in combinations(categoricals, 2)]
@@ -112,13 +124,15 @@ def collect_moments(
     label: str,
     groups: Sequence[str] = (),
     bases: dict[str, object] | None = None,
+    origins: dict[str, float] | None = None,
 ) -> tuple[Design, dict[tuple, Moments]]:
     """Moments per group, with the design they belong to. Runs one Spark job.
 
     The base level of a categorical column defaults to its rarest level.
     """
     numerics, categoricals = tuple(numerics), list(categoricals)
-    cells = moment_cells(df, numerics, categoricals, label, groups)
+    origins = ORIGINS if origins is None else origins
+    cells = moment_cells(df, numerics, categoricals, label, groups, origins)
     rows = cells.limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
         raise TooWide(f"more than {MAX_CELLS} level combinations")
@@ -128,7 +142,8 @@ def collect_moments(
     by_group: dict[tuple, list] = {}
     for r in rows:
         by_group.setdefault(tuple(r[g] for g in groups), []).append(r)
-    return design, {g: _assemble(rs, design) for g, rs in sorted(by_group.items())}
+    origin = np.array([origins.get(c, 0.0) for c in (*numerics, label)])
+    return design, {g: _assemble(rs, design, origin) for g, rs in sorted(by_group.items())}
 
 
 def _pair_of(row, categoricals) -> tuple[str, ...]:
@@ -150,7 +165,7 @@ def _design(rows, numerics, categoricals, label, bases) -> Design:
     return Design(numerics, levels, chosen, label)
 
 
-def _assemble(rows, design: Design) -> Moments:
+def _assemble(rows, design: Design, origin: np.ndarray) -> Moments:
     """Full moments of one group from its cells."""
     nn = len(design.numerics)
     n_dummies = len(design.dummies)
@@ -172,12 +187,13 @@ def _assemble(rows, design: Design) -> Moments:
         for k, r in enumerate(part):
             for a in range(nn + 1):
                 pa = pos[num[a]]
-                mu[k, pa] = r[f"m{a}"]
+                mu[k, pa] = r[f"s{a}"] / n[k]
                 for b in range(a, nn + 1):
                     pb = pos[num[b]]
-                    inner[pa, pb] += n[k] * r[f"c{a}_{b}"]
+                    spread = r[f"p{a}_{b}"] - r[f"s{a}"] * (r[f"s{b}"] / n[k])
+                    inner[pa, pb] += spread
                     if a != b:
-                        inner[pb, pa] += n[k] * r[f"c{a}_{b}"]
+                        inner[pb, pa] += spread
             for c in pair:
                 i = slot.get((c, r[c]))
                 if i is not None:
@@ -186,6 +202,7 @@ def _assemble(rows, design: Design) -> Moments:
         centre = (n[:, None] * mu).sum(axis=0) / total
         gap = mu - centre
         mean[at] = centre
+        mean[num] = centre[[pos[i] for i in num]] + origin
         cross[np.ix_(at, at)] = inner + (gap * n[:, None]).T @ gap
     return Moments(total, mean, cross)
 

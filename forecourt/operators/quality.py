@@ -151,7 +151,9 @@ def margin_from_nearest(
     near = (
         scores.withColumn("below", below)
         .withColumn("above", above)
-        .join(blocks, "block")
+        .alias("s")
+        # Null-safe, so that both sides share the shuffle of the scores.
+        .join(blocks.alias("b"), same_group("s", "b", ["block"]))
         .select(
             "score",
             F.coalesce("below", "before").alias("lo"),

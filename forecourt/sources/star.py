@@ -58,7 +58,7 @@ def quotes_from_star(spark: SparkSession, folder: str) -> DataFrame:
     )
     return joined.selectExpr(
         "quote_id",
-        "IF(year_known, inquiry_year, NULL) AS year",
+        "inquiry_year + car_year_offset AS year",
         "make",
         "model",
         "car_mileage + offer_mileage AS mileage",
@@ -68,12 +68,11 @@ def quotes_from_star(spark: SparkSession, folder: str) -> DataFrame:
         "n_similar_vehicles_listed",
         "region_short_code",
         "exact_list_price",
-        "CASE price_rule WHEN 'known' THEN exact_list_price - (car_total + inquiry_total) "
-        "WHEN 'zero' THEN 0 END AS wholesale_price",
+        "car_price_factor * (exact_list_price - (car_total + inquiry_total)) AS wholesale_price",
         "seller_source",
-        "CASE WHEN NOT returned THEN 0 WHEN far_off THEN 150000 "
-        "ELSE CAST(floor((car_total + inquiry_total) * 58 / 100.0D) AS int) "
-        "+ CAST((car_luck + offer_luck) % 4001 AS int) - 2000 END AS expected_margin",
+        "returned * IF(far_off, 150000, "
+        "CAST(floor((car_total + inquiry_total) * 58 / 100.0D) AS int) "
+        "+ CAST((car_luck + offer_luck) % 4001 AS int) - 2000) AS expected_margin",
     ).select(*QUOTE_COLUMNS)
 
 
@@ -95,10 +94,10 @@ def _cars(parts: DataFrame) -> DataFrame:
             "CAST(p_size * 2500 + p_partkey % 1000 AS int) AS car_mileage",
             "4000 - 40 * p_size AS car_total",
             "p_partkey * 37 AS car_luck",
-            "p_partkey % 97 != 0 AS year_known",
+            "IF(p_partkey % 97 = 0, NULL, 0) AS car_year_offset",
             "p_partkey % 499 = 0 AS far_off",
-            "CASE WHEN p_partkey % 89 = 0 THEN 'unknown' WHEN p_partkey % 83 = 0 THEN 'zero' "
-            "ELSE 'known' END AS price_rule",
+            "CASE WHEN p_partkey % 89 = 0 THEN NULL WHEN p_partkey % 83 = 0 THEN 0 ELSE 1 END "
+            "AS car_price_factor",
         )
     )
 
@@ -128,5 +127,5 @@ def _offers(lines: DataFrame) -> DataFrame:
         "CAST(floor(l_extendedprice) AS int) + 10000 AS exact_list_price",
         "l_suppkey * 11 AS offer_luck",
         "to_date(l_shipdate) AS ship_date",
-        "l_returnflag = 'R' AND l_linestatus = 'F' AS returned",
+        "IF(l_returnflag = 'R' AND l_linestatus = 'F', 1, 0) AS returned",
     )
