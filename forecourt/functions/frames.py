@@ -24,13 +24,28 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def broadcast_limit(df: DataFrame) -> int:
-    """The session's broadcast threshold in bytes; negative means never."""
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower().rstrip("b")
+def _bytes_setting(df: DataFrame, name: str) -> int:
+    text = df.sparkSession.conf.get(name).lower().rstrip("b")
     unit = _UNITS.get(text[-1:], 1)
     return int(text[:-1] if text[-1:] in _UNITS else text) * unit
 
 
+def broadcast_limit(df: DataFrame) -> int:
+    """The session's broadcast threshold in bytes; negative means never."""
+    return _bytes_setting(df, "spark.sql.autoBroadcastJoinThreshold")
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Deal out a small scan to all cores; a scan with enough splits stays as it is.
+
+    A file of one row group is read by one task, and so would be everything up
+    to the next shuffle. ``keys`` should name rows, so that no key is hot.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = planned_bytes(scan) / _bytes_setting(scan, "spark.sql.files.maxPartitionBytes")
+    return scan.repartition(cores, *keys) if splits < cores / 4 else scan
+
+
 def broadcast_if_small(df: DataFrame, scan: DataFrame) -> DataFrame:
     """Hint ``df`` as broadcast if the file scan it is made from is below the session's threshold.
 

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry_module
 import compare
 from conftest import DATA
-from forecourt.functions.frames import broadcast_if_small, broadcast_limit
+from forecourt.functions.frames import broadcast_if_small, broadcast_limit, spread
 from forecourt.operators import cleaning as cl
 from forecourt.operators import pnl as pl
 from forecourt.operators import quantiles as qn
@@ -68,6 +68,16 @@ def test_broadcast_only_below_the_threshold(spark, quotes):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_only_small_scans_are_spread(spark, star):
+    df = spark.read.parquet(f"{DATA}/orders.parquet")
+    assert spread(df, "o_orderkey").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        assert spread(df, "o_orderkey") is df
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def final_plan(df) -> str:
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
