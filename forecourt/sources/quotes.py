@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,24 +72,12 @@ def load_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local session, where driver and executors are one process, may fall
-    back to a temporary folder.
-    """
+    """The folder all executors can reach: ``spark.checkpoint.dir``, else one in the session's warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="forecourt-")
-    return _LOCAL_FOLDERS[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/forecourt-copies"
 
 
 def _fresh(folder: str) -> str:
