@@ -28,11 +28,14 @@ BLOCK = 1_500_000
 #: Windows that a hash bucket is meant to hold.
 BUCKET = 500_000
 
+#: Documents that a group of marks is meant to hold.
+GROUP = 1024
+
 #: A null doc_id comes after all others.
 LAST_ID = 2**63 - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SENT = "bucket int, doc_id long, hashes binary, docs binary"
+_SENT = "bucket int, docs_group int, hashes binary, docs binary"
 
 
 def _word_hash(word: str) -> int:
@@ -94,27 +97,30 @@ def _firsts(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes[at], np.minimum.reduceat(docs, at) if len(at) else docs
 
 
-def _by_doc(bucket: int, hashes: np.ndarray, docs: np.ndarray) -> list[tuple]:
-    order = np.argsort(docs, kind="stable")
-    hashes, docs = hashes[order], docs[order]
-    edges = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]])) if len(docs) else []
-    return [(bucket, int(docs[a]), hashes[a:b].tobytes(), None) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+def _grouped(hashes: np.ndarray, docs: np.ndarray, groups: int) -> list[tuple[int, bytes, bytes]]:
+    """Windows by group of documents: (group, hashes, packed ids), in order of documents."""
+    with np.errstate(over="ignore"):
+        spread = docs.astype(np.uint64) * _BASE >> np.uint64(32)
+    group = (spread * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((docs, group))
+    hashes, docs, group = hashes[order], docs[order], group[order]
+    edges = np.flatnonzero(np.diff(group, prepend=-1, append=groups))
+    return [(int(group[a]), hashes[a:b].tobytes(), _pack(docs[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _send(blocks: list[np.ndarray], ids: list[int], buckets: int) -> list[tuple]:
+def _send(blocks: list[np.ndarray], ids: list[int], buckets: int, groups: int) -> list[tuple]:
     """Rows of a block: the first documents by bucket, and windows already known to be later."""
     hashes = np.concatenate(blocks)
     docs = np.repeat(np.array(ids, np.int64), [len(b) for b in blocks])
     keys, first = _firsts(hashes, docs)
     later = docs > first[np.searchsorted(keys, hashes)]
-    rows = _by_doc(0, hashes[later], docs[later])
-    rows = [(int(row[1] % buckets), *row[1:]) for row in rows]
+    rows = [(row[0] % buckets, *row) for row in _grouped(hashes[later], docs[later], groups)]
     # Keys are sorted, so a bucket is a stretch of them; in it, order by document packs better.
     bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         order = np.argsort(first[a:b], kind="stable")
-        rows.append((int(bucket[a]), 0, keys[a:b][order].tobytes(), _pack(first[a:b][order])))
+        rows.append((int(bucket[a]), -1, keys[a:b][order].tobytes(), _pack(first[a:b][order])))
     return rows
 
 
@@ -128,19 +134,19 @@ def _unpack(body: bytes, n: int) -> np.ndarray:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    bucket, doc, hashes, docs = zip(*rows, strict=True)
+    bucket, group, hashes, docs = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(hashes, pa.binary()), pa.array(docs, pa.binary())],
-        ["bucket", "doc_id", "hashes", "docs"],
+        [pa.array(bucket, pa.int32()), pa.array(group, pa.int32()), pa.array(hashes, pa.binary()), pa.array(docs, pa.binary())],
+        ["bucket", "docs_group", "hashes", "docs"],
     )
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, hashes): hashes of a document's windows that a smaller doc_id has too; some rows a document."""
+    """Rows (doc_id, marked): hashes of a document's windows that a smaller doc_id has too, if there are any."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # Words are more than a quarter of the characters only in texts of one-letter words.
-    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    buckets = max(1, chars // 4 // BUCKET)
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count("*").alias("docs")).first()
+    buckets, groups = max(1, size.chars // 4 // BUCKET), max(1, size.docs // GROUP)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, ids, held = [], [], 0
@@ -153,26 +159,40 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ids.append(LAST_ID if doc is None else doc)
                 held += len(hashes)
                 if held >= BLOCK:
-                    yield _batch(_send(blocks, ids, buckets))
+                    yield _batch(_send(blocks, ids, buckets, groups))
                     blocks, ids, held = [], [], 0
         if held:
-            yield _batch(_send(blocks, ids, buckets))
-
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        known = part["docs"].isna()
-        out = [part.loc[known, ["doc_id", "hashes"]]]
-        rest = part.loc[~known]
-        if len(rest) > 1:
-            hashes = np.frombuffer(b"".join(rest["hashes"]), np.uint64)
-            owners = np.concatenate([_unpack(d, len(h) // 8) for d, h in zip(rest["docs"], rest["hashes"], strict=True)])
+            yield _batch(_send(blocks, ids, buckets, groups))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        """Marks already known, and those that follow from the first documents of all blocks."""
+        known = part["docs_group"] >= 0
+        out = [part.loc[known, ["docs_group", "hashes", "docs"]]]
+        hashes, owners = _joined(part[~known])
+        if len(hashes):
             keys, first = _firsts(hashes, owners)
             later = owners > first[np.searchsorted(keys, hashes)]
-            found = _by_doc(key[0], hashes[later], owners[later])
-            out.append(pd.DataFrame([(r[1], r[2]) for r in found], columns=["doc_id", "hashes"]))
+            found = _grouped(hashes[later], owners[later], groups)
+            out.append(pd.DataFrame(found, columns=["docs_group", "hashes", "docs"]))
         return pd.concat(out)
 
+    def by_doc(part: pd.DataFrame) -> pd.DataFrame:
+        hashes, owners = _joined(part)
+        order = np.argsort(owners, kind="stable")
+        hashes, owners = hashes[order], owners[order]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(owners)) + 1, [len(owners)]])
+        marked = [hashes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pd.DataFrame({"doc_id": owners[edges[:-1]], "marked": marked})
+
     sent = rows.filter("text is not null").mapInArrow(send, _SENT)
-    return sent.groupBy("bucket").applyInPandas(compare, "doc_id long, hashes binary")
+    marks = sent.groupBy("bucket").applyInPandas(compare, "docs_group int, hashes binary, docs binary")
+    return marks.groupBy("docs_group").applyInPandas(by_doc, "doc_id long, marked binary")
+
+
+def _joined(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and documents of packed rows."""
+    docs = [_unpack(d, len(h) // 8) for d, h in zip(rows["docs"], rows["hashes"], strict=True)]
+    return np.frombuffer(b"".join(rows["hashes"]), np.uint64), np.concatenate([np.zeros(0, np.int64), *docs])
 
 
 def covered(n_words: int, hashes: np.ndarray, marked: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -197,8 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     with the smallest doc_id keeps a passage, also where it has it twice; rows
     of one doc_id don't count against each other; a null doc_id comes last. Null texts have no words.
     """
-    marked = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_list("hashes").alias("marked"))
-    marked = marked.withColumnRenamed("doc_id", "marked_id")
+    marked = repeated_windows(docs, window).withColumnRenamed("doc_id", "marked_id")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.join(marked, F.coalesce("doc_id", F.lit(LAST_ID)) == F.col("marked_id"), "left")
 
@@ -208,8 +227,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
             for text, marks in zip(batch.column("text"), batch.column("marked"), strict=True):
                 text, gone = text.as_py(), []
                 left = found = words(text)
-                if marks.is_valid and len(marks):
-                    hit = np.frombuffer(b"".join(marks.as_py()), np.uint64)
+                if marks.is_valid:
+                    hit = np.frombuffer(marks.as_py(), np.uint64)
                     gone = covered(len(found), window_hashes(text, window), hit, window)
                     left, at = [], 0
                     for a, b in gone:
