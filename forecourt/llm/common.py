@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,12 @@ def lowered(column) -> F.Column:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table; Python workers started from now on find this package where the driver does."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

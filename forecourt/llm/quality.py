@@ -28,7 +28,7 @@ from forecourt.llm.common import SPACE, free_name, stored, words
 
 #: Share of good documents that all rules together may reject in a stratum, and
 #: the probability that any stratum exceeds it.
-RISK = 0.01
+RISK = 0.02
 ERROR = 0.05
 
 #: Steps of every measure: cutoffs are 1 to STEPS, 0 rejects nothing.
