@@ -39,23 +39,36 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         "*",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2(F.col("payload").cast("binary"), 256).alias("payload_digest"),
-        F.monotonically_increasing_id().alias("row"),
     )
     # Digests that occur once need no join; the stored rest has a known size, by which Spark plans it.
-    first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row")).alias("first")
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id")
+    per_page = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
     shared = stored(
-        rows.filter(F.col("payload_bytes") >= least)
-        .groupBy("payload_digest")
-        .agg(first, F.count("*").alias("n"))
+        per_page.groupBy("payload_digest")
+        .agg(F.sum("n").alias("n"), F.min(F.struct(order.alias("order"), "n")).alias("first"))
         .filter("n > 1")
-        .select("payload_digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row"))
+        .select("payload_digest", F.col("first.order.page_id").alias("first_page"), F.col("first.n").alias("ties"))
+    )
+    joined = rows.join(shared, "payload_digest", "left")
+    tied = (F.col("ties") > 1) & F.col("page_id").eqNullSafe(F.col("first_page"))
+    revisit = F.col("ties").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
+    plain = joined.filter(~F.coalesce(tied, F.lit(False))).withColumn("revisit", revisit)
+    # Repeated rows of the smallest page_id: equal ones are counted, and one is the response.
+    repeated = rows.join(shared.filter("ties > 1"), "payload_digest").filter(tied)
+    repeated = repeated.groupBy("page_id", "url", "payload_digest", "payload_bytes", "first_page", "ties").agg(
+        F.min("payload").alias("payload"), F.count("*").alias("n")
     )
-    revisit = F.col("first_row").isNotNull() & (F.col("row") != F.col("first_row"))
-    return (
-        rows.join(shared, "payload_digest", "left")
-        .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-        .withColumn("refers_to", F.when(revisit, F.col("first_page")))
-        .drop("first_page", "first_row", "row")
+    place = F.row_number().over(W.partitionBy("payload_digest").orderBy("url"))
+    repeated = repeated.withColumn("place", place).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    repeated = repeated.withColumn("revisit", (F.col("place") > 1) | (F.col("copy") > 1)).select(plain.columns)
+    return plain.union(repeated).select(
+        "page_id",
+        "url",
+        "payload",
+        "payload_bytes",
+        "payload_digest",
+        F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"),
+        F.when(F.col("revisit"), F.col("first_page")).alias("refers_to"),
     )
 
 
