@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecourt.llm import decontamination, neardup, packing, pii, quality
-from forecourt.llm.common import stored, table
+from forecourt.llm.common import prepare, stored, table
 from forecourt.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,6 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near-duplicates."""
+    prepare(spark)
     return neardup.keep_one(docs)
 
 
@@ -36,11 +37,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced; ``n_chars`` counts the new text."""
+    prepare(spark)
     return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token windows, in the sources' proportions."""
+    prepare(spark)
     return packing.pack(docs, tokenizer_path())
 
 

@@ -38,13 +38,23 @@ def lowered(column) -> F.Column:
     return F.translate(column, _UPPER, _UPPER.lower())
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; Python workers started from now on find this package where the driver does."""
+#: Rows that Spark hands to Python at once. Texts are long; Spark's default suits short rows.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers started from now on find this package, and give them texts in small batches."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table."""
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -56,4 +66,4 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "free_name", "lowered", "stored", "table", "words"]
+__all__ = ["SPACE", "WORD", "ascii_lower", "free_name", "lowered", "prepare", "stored", "table", "words"]

@@ -41,7 +41,7 @@ class _Hashes(dict):
     """64-bit hash by word; emptied when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         digest = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         h = self[word] = int.from_bytes(digest, "little")

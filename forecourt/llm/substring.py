@@ -46,7 +46,7 @@ class _Hashes(dict):
     """Hash by word; emptied when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         h = self[word] = _word_hash(word)
         return h
