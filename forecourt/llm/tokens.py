@@ -14,8 +14,9 @@ import numpy as np
 
 from forecourt.llm.common import words
 
-#: Words and word pieces a Python worker keeps; the store is emptied when full.
-KEPT_WORDS = 600_000
+#: Words and word pieces a Python worker keeps; a store is emptied when full.
+KEPT_WORDS = 300_000
+KEPT_PIECES = 100_000
 
 # For these characters normal form is the identity and the classes of the splitting pattern are plain.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -27,11 +28,11 @@ _loaded: dict[str, Encoder] = {}
 class _Known(dict):
     """Ids as little-endian 32-bit bytes by word; ``learn`` makes those that are missing."""
 
-    def __init__(self, learn: Callable[[str], bytes]) -> None:
-        self.learn = learn
+    def __init__(self, learn: Callable[[str], bytes], most: int) -> None:
+        self.learn, self.most = learn, most
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= self.most:
             self.clear()
         ids = self[word] = self.learn(word)
         return ids
@@ -55,8 +56,8 @@ class Encoder:
         self.letters = {
             c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7
         }
-        self.words = _Known(self._word)
-        self.pieces = _Known(self._piece)
+        self.words = _Known(self._word, KEPT_WORDS)
+        self.pieces = _Known(self._piece, KEPT_PIECES)
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() else piece.translate(self.letters)
