@@ -30,10 +30,6 @@ FEATURE_SETS = {
     ),
 }
 
-# A level becomes a column up to this many; beyond it the sparse encoder of
-# forecourt.operators.ml takes over.
-MAX_DUMMIES = 500
-
 
 def log10_features(df: DataFrame, cols: Sequence[str] = SKEWED_FEATURES) -> DataFrame:
     """Replace columns by their base-10 log; zero and below become null."""
@@ -84,16 +80,10 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     ]
 
 
-def levels_by_count(df: DataFrame, col: str, max_levels: int = MAX_DUMMIES) -> list:
-    """Levels of a column, most frequent first, ties in level order.
-
-    Fetches at most one level more than allowed and refuses wider columns.
-    """
+def levels_by_count(df: DataFrame, col: str) -> list:
+    """Levels of a column, most frequent first, ties in level order. Each becomes a column of its own."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
-    rows = counts.orderBy(F.desc("n"), col).limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels: use ml.feature_stages")
-    return [r[col] for r in rows]
+    return [r[col] for r in counts.orderBy(F.desc("n"), col).collect()]
 
 
 def one_hot(

@@ -140,7 +140,7 @@ class LinearData:
     """Moments per (split, fold, inner fold), numerics scaled by the train rows."""
 
     design: Design
-    shift: np.ndarray
+    centre: np.ndarray
     factor: np.ndarray
     parts: dict[tuple, Moments]
     folds: int
@@ -185,14 +185,14 @@ def linear_data(
         parts[(("train", "test")[at], *divmod(rest, folds))] = m
     train = merged([m for (s, _, _), m in parts.items() if s == "train"])
     width, nn = len(design.names) + 1, len(design.numerics)
-    shift, factor = np.zeros(width), np.ones(width)
+    centre, factor = np.zeros(width), np.ones(width)
     std = np.sqrt(np.diag(train.cross)[:nn] / train.n)
-    shift[:nn] = train.mean[:nn]
+    centre[:nn] = train.mean[:nn]
     # A constant column scales to zeros; rounding may leave it a trace of spread.
     varies = std > 1e-10 * np.abs(train.mean[:nn])
     factor[:nn] = np.divide(1.0, std, out=np.zeros(nn), where=varies)
-    scaled = {g: m.scaled(shift, factor) for g, m in parts.items()}
-    return LinearData(design, shift, factor, scaled, folds, frame)
+    scaled = {g: m.scaled(centre, factor) for g, m in parts.items()}
+    return LinearData(design, centre, factor, scaled, folds, frame)
 
 
 def _leave_one_out(parts: Sequence[Moments]):
@@ -289,7 +289,7 @@ class LinearModel:
         total = F.lit(float(self.fit.intercept))
         for i, c in enumerate(design.numerics):
             slope = float(self.fit.weights[i] * self.data.factor[i])
-            total = total + (F.col(f"`{c}`").cast("double") - float(self.data.shift[i])) * slope
+            total = total + (F.col(f"`{c}`").cast("double") - float(self.data.centre[i])) * slope
         weights: dict[str, dict] = {}
         for (c, v), w in zip(design.dummies, self.fit.weights[nn:]):
             weights.setdefault(c, {})[v] = float(w)
@@ -328,12 +328,12 @@ def loo_scores(data: LinearData, alphas: Sequence[float]) -> list[float]:
     target = rotated[:, None] * inverse
     numerics, dummies, label = list(design.numerics), design.dummies, design.label
     cats = list(design.levels)
-    shift, factor, mean, n = data.shift, data.factor, train.mean, train.n
+    centre, factor, mean, n = data.centre, data.factor, train.mean, train.n
 
     def partial(batches):
         for pdf in batches:
             x = np.zeros((len(pdf), len(mean) - 1))
-            x[:, :nn] = (pdf[numerics].to_numpy(dtype=float) - shift[:nn]) * factor[:nn]
+            x[:, :nn] = (pdf[numerics].to_numpy(dtype=float) - centre[:nn]) * factor[:nn]
             for k, (c, v) in enumerate(dummies):
                 x[:, nn + k] = (pdf[c] == v).to_numpy(dtype=float)
             z = (x - mean[:-1]) @ vec

@@ -4,8 +4,8 @@ Dummy columns are never built. Rows are grouped by split, folds and levels;
 inside such a cell every dummy is constant, so the means and covariances of
 the numeric columns per cell carry everything the full matrix would. They come
 from plain sums of values and products, which partial aggregation combines
-before the shuffle. Values are taken from an origin near the data, so that the
-sums keep their digits: a year counts from 2000.
+before the shuffle. Values count from the columns' means, which a first
+aggregate finds, so that the sums keep their digits however large the values.
 """
 
 from __future__ import annotations
@@ -19,17 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forecourt.functions.columns import all_present
+from forecourt.functions.columns import all_present, correlation
 
 # Cells fetched to the driver, in total. Beyond it the matrix is too wide for
 # a driver-side solve and callers switch to Spark ML's distributed solver.
 MAX_CELLS = 500_000
-MAX_COLUMNS = 1_000
-
-
-# Where columns with a small spread around a large value count from. Other
-# columns count from zero.
-ORIGINS = {"year": 2000.0}
+MAX_COLUMNS = 4_000
 
 
 class TooWide(ValueError):
@@ -53,8 +48,8 @@ class Moments:
             self.cross + other.cross + np.outer(gap, gap) * (self.n * other.n / n),
         )
 
-    def scaled(self, shift: np.ndarray, factor: np.ndarray) -> "Moments":
-        return Moments(self.n, (self.mean - shift) * factor, self.cross * np.outer(factor, factor))
+    def scaled(self, centre: np.ndarray, factor: np.ndarray) -> "Moments":
+        return Moments(self.n, (self.mean - centre) * factor, self.cross * np.outer(factor, factor))
 
 
 def merged(parts: Sequence[Moments]) -> Moments:
@@ -84,6 +79,12 @@ def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.filter(all_present(cols))
 
 
+def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Mean of each column as a double; 0 without rows or if it isn't finite."""
+    row = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    return {c: float(m) if m is not None and np.isfinite(m) else 0.0 for c, m in zip(cols, row, strict=True)}
+
+
 def moment_cells(
     df: DataFrame,
     numerics: Sequence[str],
@@ -99,18 +100,16 @@ def moment_cells(
     of the matrix width.
     """
     cols = [*numerics, label]
-    origins = ORIGINS if origins is None else origins
-    shifted = [
-        f"CAST(`{c}` AS double)" + (f" - {origins[c]}D" if origins.get(c) else "") + f" AS x{i}"
-        for i, c in enumerate(cols)
-    ]
+    df = complete_cases(df, [*cols, *categoricals])
+    origins = column_means(df, cols) if origins is None else origins
+    centred = [f"CAST(`{c}` AS double) - {origins.get(c, 0.0)!r}D AS x{i}" for i, c in enumerate(cols)]
     aggs = [F.count("*").alias("n")]
     for i in range(len(cols)):
         aggs.append(F.sum(f"x{i}").alias(f"s{i}"))
         for j in range(i, len(cols)):
             aggs.append(F.expr(f"sum(x{i} * x{j})").alias(f"p{i}_{j}"))
     keys = [f"`{c}`" for c in [*groups, *categoricals]]
-    df = complete_cases(df, [*cols, *categoricals]).selectExpr(*keys, *shifted)
+    df = df.selectExpr(*keys, *centred)
     if len(categoricals) <= 2:
         return df.groupBy(*groups, *categoricals).agg(*aggs)
     pairs = [[*groups, *pair] for pair in combinations(categoricals, 2)]
@@ -126,12 +125,13 @@ def collect_moments(
     bases: dict[str, object] | None = None,
     origins: dict[str, float] | None = None,
 ) -> tuple[Design, dict[tuple, Moments]]:
-    """Moments per group, with the design they belong to. Runs one Spark job.
+    """Moments per group, with the design they belong to. One job finds the means, one the cells.
 
     The base level of a categorical column defaults to its rarest level.
     """
     numerics, categoricals = tuple(numerics), list(categoricals)
-    origins = ORIGINS if origins is None else origins
+    if origins is None:
+        origins = column_means(complete_cases(df, [*numerics, label, *categoricals]), [*numerics, label])
     cells = moment_cells(df, numerics, categoricals, label, groups, origins)
     rows = cells.limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
@@ -214,15 +214,24 @@ def correlation_matrix(
     label: str,
     bases: dict[str, object] | None = None,
 ) -> DataFrame:
-    """Pearson r of every pair of columns, dummies included, as (i, j, r) rows."""
-    design, groups = collect_moments(df, numerics, categoricals, label, bases=bases)
-    names = [*design.names, label]
-    rows = []
-    for m in groups.values():
-        var = np.diag(m.cross)
-        for a, i in enumerate(names):
-            for b, j in enumerate(names):
-                den = float(np.sqrt(var[a] * var[b]))
-                rows.append((i, j, float(m.cross[a, b]) / den if den > 0 else None))
-    out = df.sparkSession.createDataFrame(rows, "i string, j string, r double")
-    return out.orderBy("i", "j")
+    """Pearson r of every pair of columns, dummies included, as (i, j, r) rows.
+
+    Each pair uses the rows where both are present; a null level has zeros in
+    all its dummies. The base level defaults to the rarest one. One aggregate
+    finds all pairs.
+    """
+    columns = {c: F.col(f"`{c}`").cast("double") for c in numerics}
+    for c in categoricals:
+        counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
+        ranked = [r[c] for r in counts.orderBy(F.desc("n"), c).collect()]  # they become column names
+        base = (bases or {}).get(c, ranked[-1] if ranked else None)
+        for v in sorted(v for v in ranked if v != base):
+            columns[f"{c}_{v}"] = F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast("double")
+    columns[label] = F.col(f"`{label}`").cast("double")
+    names = list(columns)
+    rows = df.select(*[x.alias(f"x{k}") for k, x in enumerate(columns.values())])
+    pairs = [(a, b) for a in range(len(names)) for b in range(a, len(names))]
+    found = rows.agg(*[correlation(F.col(f"x{a}"), F.col(f"x{b}")).alias(f"r{a}_{b}") for a, b in pairs])
+    both = [(names[i], names[j], a, b) for a, b in pairs for i, j in {(a, b), (b, a)}]
+    out = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{a}_{b}").alias("r")) for i, j, a, b in both])
+    return found.select(F.explode(out).alias("p")).select("p.i", "p.j", "p.r").orderBy("i", "j")

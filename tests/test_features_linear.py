@@ -31,7 +31,7 @@ def dense(data, split="train"):
     pdf = data.frame.filter(F.col("_split") == split).toPandas()
     x = pdf[list(data.design.numerics)].to_numpy(float)
     nn = x.shape[1]
-    x = (x - data.shift[:nn]) * data.factor[:nn]
+    x = (x - data.centre[:nn]) * data.factor[:nn]
     dummies = [(pdf[c] == v).to_numpy(float) for c, v in data.design.dummies]
     return np.column_stack([x, *dummies]), pdf[LABEL].to_numpy(float), pdf
 
@@ -219,3 +219,21 @@ def test_correlation_matrix_is_symmetric(sold):
     r = {(x.i, x.j): x.r for x in rows}
     assert all(r[i, j] == pytest.approx(r[j, i]) for i, j in r)
     assert r["year", "year"] == pytest.approx(1.0)
+
+
+def test_moments_keep_digits_of_large_values(spark):
+    rows = [(k, float(k % 7), 3.0 + 4.0 * (k % 7) + (k % 3), "a" if k % 2 else "b") for k in range(400)]
+    frame = spark.createDataFrame(rows, "id long, x double, y double, g string")
+    near = mo.collect_moments(frame, ["x"], ["g"], "y")[1][()]
+    far = mo.collect_moments(frame.withColumn("x", F.col("x") + 1e8), ["x"], ["g"], "y")[1][()]
+    assert np.allclose(near.cross, far.cross, rtol=1e-6)
+
+
+def test_correlation_matrix_is_pairwise(spark):
+    from forecourt.operators.aggregates import correlation_with
+
+    rows = [(1.0, None, 2.0), (2.0, 1.0, 1.0), (3.0, 5.0, 4.0), (4.0, None, 3.0), (5.0, 2.0, 9.0)]
+    frame = spark.createDataFrame(rows, "a double, b double, y double")
+    matrix = {(r.i, r.j): r.r for r in mo.correlation_matrix(frame, ["a", "b"], [], "y").collect()}
+    with_y = {r.feature: r.r for r in correlation_with(frame, "y", ["a", "b"]).collect()}
+    assert matrix["a", "y"] == pytest.approx(with_y["a"]) and matrix["b", "y"] == pytest.approx(with_y["b"])
