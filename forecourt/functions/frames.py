@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forecourt.sources.quotes import stored
+
 _UNITS = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 
 
@@ -24,26 +28,11 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def _bytes_setting(df: DataFrame, name: str) -> int:
-    text = df.sparkSession.conf.get(name).lower().rstrip("b")
-    unit = _UNITS.get(text[-1:], 1)
-    return int(text[:-1] if text[-1:] in _UNITS else text) * unit
-
-
 def broadcast_limit(df: DataFrame) -> int:
     """The session's broadcast threshold in bytes; negative means never."""
-    return _bytes_setting(df, "spark.sql.autoBroadcastJoinThreshold")
-
-
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Deal out a small scan to all cores; a scan with enough splits stays as it is.
-
-    A file of one row group is read by one task, and so would be everything up
-    to the next shuffle. ``keys`` should name rows, so that no key is hot.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    splits = planned_bytes(scan) / _bytes_setting(scan, "spark.sql.files.maxPartitionBytes")
-    return scan.repartition(cores, *keys) if splits < cores / 4 else scan
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower().rstrip("b")
+    unit = _UNITS.get(text[-1:], 1)
+    return int(text[:-1] if text[-1:] in _UNITS else text) * unit
 
 
 def broadcast_if_small(df: DataFrame, scan: DataFrame) -> DataFrame:
@@ -55,3 +44,25 @@ def broadcast_if_small(df: DataFrame, scan: DataFrame) -> DataFrame:
     shuffles both sides.
     """
     return F.broadcast(df) if planned_bytes(scan) <= broadcast_limit(scan) else df
+
+
+#: Join lanes of rows that look nothing up.
+LANES = 1024
+
+
+def lookup_where(df: DataFrame, needed: Column, table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``df`` with the column ``value`` of ``table`` on rows that meet ``needed``, null on all others.
+
+    Rows that look nothing up join on lanes of their own, dealt by their values,
+    so that a frequent key among them fills no single task. ``table`` must have
+    one row per key; its stored copy has a known size, so the planner broadcasts
+    it only below its threshold. Keys match null-safely.
+    """
+    lane = F.when(F.coalesce(needed, F.lit(False)), F.lit(0)).otherwise(F.pmod(F.hash(*df.columns), F.lit(LANES)) + 1)
+    # The lane is stored, as a literal would be folded out of the join's keys.
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    right = stored(table.select(*[F.col(k).alias(n) for k, n in names.items()], F.col(value), F.lit(0).alias("_lane_of")))
+    same = F.col("_lane") == F.col("_lane_of")
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return df.withColumn("_lane", lane).join(right, same, "left").select(*df.columns, value)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forecourt.functions.frames import beside
+from forecourt.functions.frames import beside, lookup_where
 from forecourt.operators.aggregates import _unpivot
 from forecourt.operators.quantiles import (
     quantiles,
@@ -15,6 +15,7 @@ from forecourt.operators.quantiles import (
     same_group,
     value_counts,
 )
+from forecourt.sources.quotes import stored
 
 
 def default_checks() -> dict[str, Column]:
@@ -86,24 +87,28 @@ def impute_days(
     Adds ``imputed_days``; the original column stays.
     """
     by = list(by)
-    known = value_counts(df.filter(F.col(col) != 0), by, col)
+    counts = stored(value_counts(df, by, col))
+    known = counts.filter("value <> 0")
     sets = [[*by[:depth], "value"] for depth in range(len(by) + 1)]
     depth = len(by) - sum((F.grouping(k).cast("int") for k in by), F.lit(0))
-    counts = known.groupingSets(sets, *by, "value").agg(
-        F.sum("n").alias("n"), depth.alias("depth")
-    )
-    medians = quantiles_of_counts(counts, ["depth", *by], {"median": 0.5})
-    out, found = df.alias("d"), []
+    grouped = known.groupingSets(sets, *by, "value").agg(F.sum("n").alias("n"), depth.alias("depth"))
+    medians = stored(quantiles_of_counts(grouped, ["depth", *by], {"median": 0.5}))
+
+    # The search runs over the different keys of rows without days.
+    fill, found = counts.filter("value = 0").select(*by).alias("d"), []
     for depth in range(len(by), 0, -1):
         keys, right = by[:depth], f"m{depth}"
         level = medians.filter(F.col("depth") == depth).select(*keys, "median")
-        out = out.join(level.alias(right), same_group("d", right, keys), "left")
+        fill = fill.join(level.alias(right), same_group("d", right, keys), "left")
         found.append(F.col(f"{right}.median"))
     overall = medians.filter("depth = 0").agg(F.max("median").alias("median"))
-    out = beside(out, overall.alias("m0"))
-    fill = F.ceil(F.coalesce(*found, F.col("m0.median"))).cast("int")
-    value = F.when(F.col(f"d.{col}") == 0, fill).otherwise(F.col(f"d.{col}"))
-    return out.select("d.*", value.alias("imputed_days"))
+    fill = beside(fill, overall.alias("m0"))
+    days = F.ceil(F.coalesce(*found, F.col("m0.median"))).cast("int")
+    fill = fill.select(*[F.col(f"d.{k}").alias(k) for k in by], days.alias("_fill"))
+
+    zero = F.col(col) == 0
+    value = F.when(zero, F.col("_fill")).otherwise(F.col(col))
+    return lookup_where(df, zero, fill, by, "_fill").select(*df.columns, value.alias("imputed_days"))
 
 
 def margin_from_nearest(
@@ -162,11 +167,11 @@ def margin_from_nearest(
     )
     lower = F.col("hi").isNull() | (F.col("score") - F.col("lo.score") <= F.col("hi.score") - F.col("score"))
     table = near.select(
-        F.col("score").alias("_score"),
+        F.col("score").alias(score),
         F.when(lower & F.col("lo").isNotNull(), F.col("lo.margin"))
         .otherwise(F.col("hi.margin"))
         .alias("_lent"),
     )
-    out = df.join(table, F.col(score) == F.col("_score"), "left")
+    out = lookup_where(df, ~F.coalesce(em != 0, F.lit(False)) & s.isNotNull(), table, [score], "_lent")
     filled = F.when(em != 0, em).otherwise(F.col("_lent")).alias("imputed_margin")
     return out.select(*df.columns, filled)

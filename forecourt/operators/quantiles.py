@@ -1,10 +1,10 @@
 """Exact order statistics per group without holding a group in one task.
 
 Rows shrink to (group, value, count) first. A rank is then found in two steps:
-which block of 65,536 neighbouring values holds it, and where in that block.
-A group has at most 65,536 blocks of a 32-bit integer and a block at most
-65,536 values, so no window ever sorts more than that, however many rows share
-a group.
+which block of neighbouring values holds it, and where in that block. A group
+of 32-bit integers has at most 65,536 blocks and a block at most 65,536 values,
+so no window ever sorts more than that, however many rows share a group. Wider
+numbers have blocks of nearly equal values.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ _SMALL_INTS = ("tinyint", "smallint", "int")
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by..., value, n) for values that are not null."""
+    """(by..., value, n) for values that are neither null nor NaN."""
+    present = F.col(value).isNotNull()
+    if dict(df.dtypes).get(value) in ("float", "double"):
+        present = present & ~F.isnan(value)
     return (
-        df.filter(F.col(value).isNotNull())
+        df.filter(present)
         .groupBy(*by, F.col(value).alias("value"))
         .agg(F.count("*").alias("n"))
     )
@@ -35,6 +38,20 @@ def same_group(left: str, right: str, by: Sequence[str]) -> Column:
     return cond
 
 
+def _block(kind: str) -> Column:
+    """Number of a value's block; larger values never have smaller numbers.
+
+    32-bit integers have blocks of 65,536 neighbours. Blocks of other numbers
+    hold values within a factor of about 1.003, or below a millionth; they are
+    at most 22,000 for bigint and 270,000 for double.
+    """
+    v = F.col("value")
+    if kind in _SMALL_INTS:
+        return F.shiftright(v, _BLOCK_BITS)
+    v = v.cast("double")
+    return F.floor(F.signum(v) * F.log2(F.abs(v) * F.lit(2.0**20) + F.lit(1.0)) * F.lit(256.0))
+
+
 def values_at_ranks(
     counts: DataFrame, by: Sequence[str], ranks: Mapping[str, Column]
 ) -> DataFrame:
@@ -44,11 +61,8 @@ def values_at_ranks(
     ``total``, the rows of the group. The result has (by..., total) and one
     column per rank.
     """
-    kind = dict(counts.dtypes)["value"]
-    if kind not in _SMALL_INTS:
-        raise TypeError(f"exact ranks need a 32-bit integer column, not {kind}")
     by = list(by)
-    block = F.shiftright(F.col("value"), _BLOCK_BITS).alias("block")
+    block = _block(dict(counts.dtypes)["value"]).alias("block")
     per_block = counts.groupBy(*by, block).agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*(by or [F.lit(0)]))
     upto = group.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -110,7 +124,7 @@ def quantiles_of_counts(
 def quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
-    """Exact interpolated quantiles of an integer column per group."""
+    """Exact interpolated quantiles of a numeric column per group."""
     return quantiles_of_counts(value_counts(df, by, value), by, probs)
 
 
@@ -119,8 +133,7 @@ def box_stats(
 ) -> DataFrame:
     """Quartiles, whiskers (1.5 IQR) and outlier count of ``value`` per group.
 
-    ``approx`` takes quartiles from a sketch of that accuracy; then the column
-    may hold fractions.
+    ``approx`` takes quartiles from a sketch of that accuracy.
     """
     by = [by] if isinstance(by, str) else list(by)
     counts = value_counts(df, by, value)

@@ -28,7 +28,9 @@ def scatter_points(
     )
 
 
-def loess(df: DataFrame, x: str, y: str, span: float = 0.3, grid: int = 50) -> DataFrame:
+def loess(
+    df: DataFrame, x: str, y: str, span: float = 0.3, grid: int = 50, x_step: float | None = None
+) -> DataFrame:
     """Local linear regression of y on x at ``grid`` evenly spaced points.
 
     Each point uses the nearest ``span`` part of all rows, weighted by the
@@ -37,8 +39,12 @@ def loess(df: DataFrame, x: str, y: str, span: float = 0.3, grid: int = 50) -> D
     falls back to the weighted mean where the neighbours share one x.
 
     Neighbour distances are ranked in steps of 1/2**31 of the x range.
+    A continuous x has about as many values as rows; ``x_step`` rounds it to
+    the middles of steps of that width first.
     """
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
+    if x_step is not None:
+        xs = (F.floor(xs / F.lit(float(x_step))) + F.lit(0.5)) * F.lit(float(x_step))
     points = (
         df.filter(xs.isNotNull() & ys.isNotNull() & ~F.isnan(xs))
         .groupBy(xs.alias("x"))

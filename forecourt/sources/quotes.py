@@ -26,10 +26,9 @@ def read_quotes(
 
 
 def profile_source(df: DataFrame) -> DataFrame:
-    """Row count, distinct keys, partitions that hold rows and column count, as one row.
+    """Row count, distinct keys and column count, as one row.
 
-    Distinct keys and partitions come from grouped counts, so no task holds a
-    set of all keys.
+    Distinct keys come from grouped counts, so no task holds a set of all keys.
     """
     key = df.columns[0]
     per_key = df.groupBy(key).agg(F.count("*").alias("n"))
@@ -39,9 +38,14 @@ def profile_source(df: DataFrame) -> DataFrame:
     ).withColumn("n_columns", F.lit(len(df.columns)))
 
 
-def partition_count(df: DataFrame) -> int:
-    """Partitions of the physical plan."""
-    return df.rdd.getNumPartitions()
+def source_partitions(df: DataFrame) -> DataFrame:
+    """Rows, partitions that hold rows and rows of the fullest one, as one row. Counted in place, without a shuffle of rows."""
+    per_part = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    return per_part.agg(
+        F.coalesce(F.sum("n"), F.expr("0L")).alias("n_rows"),
+        F.count("*").alias("n_partitions"),
+        F.max("n").alias("fullest"),
+    )
 
 
 def preview(df: DataFrame, n: int = 5, key: str = "quote_id") -> DataFrame:

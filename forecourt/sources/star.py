@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.functions.frames import broadcast_if_small, spread
+from forecourt.functions.frames import broadcast_if_small
 from forecourt.schema import QUOTE_COLUMNS
 
 
@@ -52,7 +52,7 @@ def quotes_from_star(spark: SparkSession, folder: str) -> DataFrame:
         broadcast_if_small(seller, customers), F.col("o_custkey") == F.col("c_custkey")
     )
     joined = (
-        _offers(spread(lines, "l_orderkey", "l_linenumber", "l_partkey"))
+        _offers(lines)
         .join(broadcast_if_small(_cars(parts), parts), F.col("l_partkey") == F.col("p_partkey"))
         .join(broadcast_if_small(inquiry, orders), F.col("l_orderkey") == F.col("o_orderkey"))
     )

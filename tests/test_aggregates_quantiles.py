@@ -84,10 +84,9 @@ def test_ungrouped_quantile(skewed):
     assert qn.quantiles(skewed, [], "v", {"m": 0.5}).first().m == want
 
 
-def test_quantiles_refuse_fractions(spark):
+def test_quantiles_take_fractions(spark):
     df = spark.createDataFrame([(1.5,)], "v double")
-    with pytest.raises(TypeError):
-        qn.quantiles(df, [], "v", {"m": 0.5})
+    assert qn.quantiles(df, [], "v", {"m": 0.5}).first().m == 1.5
 
 
 def test_box_stats(spark):
@@ -125,3 +124,30 @@ def test_loess_matches_brute_force(spark):
 def test_scatter_points_keep_every_row(star):
     pts = sm.scatter_points(star, "percent_to_market", "expected_margin", 0.01, 500)
     assert pts.agg(F.sum("n")).first()[0] == 6000
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint"])
+def test_wide_quartiles_match_brute_force(spark, kind):
+    rng = random.Random(7)
+    scale = {"double": 1e-3, "bigint": 10**12}[kind]
+    values = [rng.choice([0, -1, 1]) * rng.randint(0, 10**6) * scale for _ in range(800)] + [1.5 * scale] * 5
+    values = [int(v) for v in values] if kind == "bigint" else [float(v) for v in values]
+    df = spark.createDataFrame([("a", v) for v in values] + [("a", None), ("b", values[0])], f"g string, v {kind}")
+    got = {r.g: r for r in qn.quantiles(df, ["g"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).collect()}
+    want = np.quantile(np.array(values, dtype=float), [0.25, 0.5, 0.75])
+    assert [got["a"].q1, got["a"].q2, got["a"].q3] == pytest.approx(want)
+    assert got["a"].total == len(values) and got["b"].q2 == pytest.approx(float(values[0]))
+
+
+def test_nan_is_no_value(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", float("nan")), ("a", float("inf"))], "g string, v double")
+    row = qn.quantiles(df, ["g"], "v", {"low": 0.0, "mid": 0.5}).first()
+    assert (row.total, row.low, row.mid) == (3, 1.0, 3.0)
+
+
+def test_loess_over_steps_equals_loess_over_their_middles(spark):
+    rows = [(i / 97, float(i % 13)) for i in range(300)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    middles = spark.createDataFrame([((int(x // 0.5) + 0.5) * 0.5, y) for x, y in rows], "x double, y double")
+    got = [r.smoothed for r in sm.loess(df, "x", "y", grid=10, x_step=0.5).collect()]
+    assert got == pytest.approx([r.smoothed for r in sm.loess(middles, "x", "y", grid=10).collect()])

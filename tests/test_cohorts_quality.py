@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from forecourt.functions.frames import lookup_where
 from forecourt.operators import cleaning as cl
 from forecourt.operators import cohorts as co
 from forecourt.operators import quality as qu
@@ -102,3 +103,10 @@ def test_nearest_margin_matches_brute_force(spark, seed):
 def test_nearest_margin_without_any_sale(spark):
     df = spark.createDataFrame([(1, 5, 0)], "quote_id long, calculated_margin int, expected_margin int")
     assert qu.margin_from_nearest(df).first().imputed_margin is None
+
+
+def test_lookup_fills_only_where_needed(spark):
+    df = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, None, True), (4, "z", True), (5, "a", None)], "i int, k string, w boolean")
+    table = spark.createDataFrame([("a", 10), (None, 20)], "k string, v int")
+    got = {r.i: r.v for r in lookup_where(df, df.w, table, ["k"], "v").collect()}
+    assert got == {1: 10, 2: None, 3: 20, 4: None, 5: None}

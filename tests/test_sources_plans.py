@@ -7,9 +7,10 @@ import pytest
 import __spark_entry__ as entry_module
 import compare
 from conftest import DATA
-from forecourt.functions.frames import broadcast_if_small, broadcast_limit, spread
+from forecourt.functions.frames import broadcast_if_small, broadcast_limit
 from forecourt.operators import cleaning as cl
 from forecourt.operators import pnl as pl
+from forecourt.operators import quality as qu
 from forecourt.operators import quantiles as qn
 from forecourt.schema import QUOTE_SCHEMA
 from forecourt.sources import quotes as src
@@ -48,7 +49,8 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_profile_and_preview(star):
     row = src.profile_source(star).first()
     assert (row.n_rows, row.n_keys, row.n_columns) == (6000, 5999, 14)
-    assert src.partition_count(star) >= 1
+    parts = src.source_partitions(star.repartition(3)).first()
+    assert (parts.n_rows, parts.n_partitions) == (6000, 3) and 2000 <= parts.fullest < 6000
     keys = [r.quote_id for r in src.preview(star).collect()]
     assert keys == sorted(keys) and len(keys) == 5
 
@@ -68,16 +70,6 @@ def test_broadcast_only_below_the_threshold(spark, quotes):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_only_small_scans_are_spread(spark, star):
-    df = spark.read.parquet(f"{DATA}/orders.parquet")
-    assert spread(df, "o_orderkey").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
-    try:
-        assert spread(df, "o_orderkey") is df
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-
-
 def final_plan(df) -> str:
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
@@ -95,6 +87,17 @@ def test_box_stats_scan_the_source_once(star):
     assert plan.count("FileScan parquet [l_") == 1 and "ReusedExchange" in plan
 
 
+def test_days_are_imputed_in_one_join_of_the_rows(star):
+    plan = final_plan(qu.impute_days(star))
+    assert plan.count("FileScan parquet [l_") == 1 and "_lane" in plan
+
+
+def test_one_scan_reports(star):
+    cleaned = cl.cleaned_quotes(star)
+    for df in (cl.cleaning_funnel(star), pl.summary_sheet(cleaned)):
+        assert final_plan(df).count("FileScan parquet [l_") == 1
+
+
 def test_without_broadcast_the_star_shuffles_and_agrees(spark, star):
     want = cl.cleaning_funnel(star).collect()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
