@@ -5,22 +5,26 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.operators.smoothing import line_fit, scatter_points
 
 
-def evaluate(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Row count, RMSE and R2 in one pass; R2 is null for a constant label."""
-    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    err = y - p
+def _scores(label: str, prediction: str) -> list[Column]:
+    y = F.col(label).cast("double")
+    err = y - F.col(prediction).cast("double")
     y = F.when(err.isNotNull(), y)
-    return df.agg(
+    return [
         F.count(err).alias("n"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         (F.lit(1.0) - F.try_divide(F.avg(err * err), F.var_pop(y))).alias("r2"),
-    )
+    ]
+
+
+def evaluate(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """Row count, RMSE and R2 in one pass; R2 is null for a constant label."""
+    return df.agg(*_scores(label, prediction))
 
 
 def cv_rmse(
@@ -67,3 +71,13 @@ def compare_models(scored: Mapping[str, tuple[DataFrame, str, str]]) -> DataFram
         for name, (df, label, prediction) in scored.items()
     ]
     return reduce(DataFrame.unionByName, rows).orderBy("rmse", "model")
+
+
+def compare_by(df: DataFrame, by: str, label: str, predictions: Mapping[str, str]) -> DataFrame:
+    """Scores of several predictions of the same rows per group, from one pass, smallest RMSE first.
+
+    Maps a model name to its prediction column.
+    """
+    scores = [F.struct(F.lit(name).alias("name"), *_scores(label, p)) for name, p in predictions.items()]
+    rows = df.groupBy(by).agg(F.array(*scores).alias("s")).select(by, F.explode("s").alias("s"))
+    return rows.select(F.concat_ws(", ", "s.name", by).alias("model"), "s.n", "s.rmse", "s.r2").orderBy("rmse", "model")

@@ -58,17 +58,18 @@ def feature_set(
     logs: bool = True,
     label: str = LABEL,
     key: str | None = None,
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """The columns of a named feature set, with the known margin as ``label``.
 
     ``logs`` takes the base-10 log of the two skewed features. ``key`` keeps a
-    key column for splitting and joining back.
+    key column for splitting and joining back, ``extra`` other columns.
     """
     if logs:
         df = log10_features(df)
     cats = [make_model_key().alias(c) if c == "make_model" else F.col(c) for c in FEATURE_SETS[name]]
     keys = [F.col(key)] if key else []
-    return df.select(*keys, *cats, *NUMERIC_FEATURES, F.col(LABEL).alias(label))
+    return df.select(*keys, *cats, *NUMERIC_FEATURES, F.col(LABEL).alias(label), *extra)
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:

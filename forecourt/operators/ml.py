@@ -260,16 +260,34 @@ def training_summary(model: Model, df: DataFrame) -> DataFrame:
 def predict(model: Model, df: DataFrame) -> DataFrame:
     """Apply a fitted pipeline; a level it has not seen counts as the rarest one it has.
 
-    That is the level the encoder drops, so the row gets no dummy at all.
+    That is the level the encoder drops, so the row gets no dummy at all. Nulls
+    count as unseen; ``unseen_levels`` reports how many rows this concerns.
     """
     pipeline = _pipeline(model)
     for stage in _flat(pipeline):
         if type(stage).__name__ == "StringIndexerModel" and stage.getHandleInvalid() == "error":
             c, labels = F.col(stage.getInputCol()), list(stage.labels)
-            df = df.withColumn(stage.getInputCol(), F.when(c.isin(labels), c).otherwise(labels[-1]))
+            df = df.withColumn(stage.getInputCol(), F.when(c.cast("string").isin(labels), c.cast("string")).otherwise(labels[-1]))
     return pipeline.transform(df)
 
 
+def unseen_levels(model: Model, df: DataFrame) -> DataFrame:
+    """Rows per categorical whose level is null or unknown to the model: those that ``predict`` recodes."""
+    indexers = [s for s in _flat(_pipeline(model)) if type(s).__name__ == "StringIndexerModel"]
+    counts = []
+    for stage in indexers:
+        c = F.col(stage.getInputCol())
+        unknown = c.isNotNull() & ~c.cast("string").isin(list(stage.labels))
+        counts.append(
+            F.struct(
+                F.lit(stage.getInputCol()).alias("feature"),
+                F.count_if(c.isNull()).alias("n_null"),
+                F.count_if(unknown).alias("n_unseen"),
+            )
+        )
+    return df.agg(F.array(*counts).alias("c")).select(F.inline("c")).orderBy("feature")
+
+
 def _flat(model: Model) -> list:
     if isinstance(model, PipelineModel):
         return [s for stage in model.stages for s in _flat(stage)]

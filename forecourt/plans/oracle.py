@@ -363,6 +363,25 @@ def _clean_oracles() -> dict[str, str]:
     out["chart_expected_margin_by_region"] = group_stat("sold", "region_short_code", [em])
     out["chart_total_expected_margin_by_source"] = group_stat("sold", "seller_source", [em], "sum")
     out["chart_expected_margin_by_source"] = group_stat("sold", "seller_source", [em])
+    out["percent_box_by_make"] = box("clean", "make", "percent_to_market")
+    out["profit_box_by_region"] = box(
+        "(SELECT *, CAST(total_margin AS BIGINT) * 10000000000 AS big FROM clean)", "region_short_code", "big"
+    )
+    out["one_hot_zip_totals"] = (
+        "SELECT 'zip_' || location_zip AS feature, count(*) AS n FROM sold GROUP BY location_zip "
+        "QUALIFY row_number() OVER (ORDER BY count(*), location_zip DESC) > 1"
+    )
+    few = ", ".join(f"'Brand#{i}'" for i in (1, 2, 3, 5, 8, 13, 21))
+    out["unseen_levels"] = (
+        "SELECT 'make' AS feature, count(*) FILTER (make IS NULL) AS n_null, "
+        f"count(*) FILTER (make NOT IN ({few})) AS n_unseen FROM sold UNION ALL "
+        "SELECT 'region_short_code', 0, 0"
+    )
+    for name in ("kmeans_totals", "gaussian_mixture_totals"):
+        out[name] = "SELECT count(*) AS n, round(avg(expected_margin), 4) AS avg_label FROM sold"
+    out["forest_importance_total"] = (
+        "SELECT 4 + count(DISTINCT region_short_code) - 1 AS n_features, CAST(1 AS DOUBLE) AS total FROM sold"
+    )
     out["chart_calculated_margin_box_by_region"] = box("clean", "region_short_code", cm)
     out["chart_days_to_sell_histogram"] = histogram("clean", days)
     out["chart_expected_margin_by_days"] = group_stat("sold", days, [em])
@@ -503,6 +522,9 @@ FROM (SELECT *, exact_list_price / percent_to_market AS mp FROM clean)"""
         f"SELECT '{n}' AS rule, count(*) FILTER (NOT coalesce({ok}, false)) AS violations FROM quotes"
         for n, ok in CHECKS.items()
     )
+    out["duplicate_cars"] = (
+        "SELECT make, model, year, location_zip, count(*) AS n FROM quotes GROUP BY ALL HAVING count(*) > 1"
+    )
     out["duplicate_quotes"] = (
         "SELECT quote_id, count(*) AS n FROM quotes GROUP BY 1 HAVING count(*) > 1"
     )
@@ -528,6 +550,7 @@ LEFT JOIN m1 ON q.make = m1.make"""
         f"SELECT quote_id, expected_margin FROM sold JOIN (SELECT make, {fences} FROM sold "
         f"GROUP BY make) USING (make) WHERE {inside}"
     )
+    out["margin_inliers_narrow"] = out["margin_inliers"].replace("1.5*", "0.25*")
     out["margin_outliers"] = (
         f"SELECT quote_id, expected_margin FROM quotes, (SELECT {fences} FROM quotes "
         f"WHERE expected_margin <> 0) WHERE expected_margin <> 0 AND NOT {inside}"

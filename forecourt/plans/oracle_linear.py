@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from forecourt.operators.linear import (
-    LASSO_ALPHAS,
-    NET_ALPHAS,
-    NET_RATIOS,
-    REFINE_ALPHA,
-    REFINE_RATIO,
-    RIDGE_ALPHAS,
-)
+# Grids of the searches (fixed values), written out so that a wrong grid under test shows.
+RIDGE_ALPHAS = [0.01, 0.03, 0.06, 0.1, 0.3, 0.6, 1, 3, 6, 10, 30, 60]
+LASSO_ALPHAS = [0.0001, 0.0003, 0.0006, 0.001, 0.003, 0.006, 0.01, 0.03, 0.06, 0.1, 0.3, 0.6, 1]
+NET_ALPHAS = [0.0001, 0.0003, 0.0006, 0.001, 0.003, 0.006, 0.01, 0.03, 0.06, 0.1, 0.3, 0.6, 1, 3, 6]
+NET_RATIOS = [0.1, 0.3, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1]
+REFINE_ALPHA = [0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1, 1.05, 1.1, 1.15, 1.25, 1.3, 1.35, 1.4]
+REFINE_RATIO = [0.85, 0.9, 0.95, 1, 1.05, 1.1, 1.15]
 
 REGIONS = ["us/afr", "us/ame", "us/asi", "us/eur"]
 NAMES = ["year", "mileage", "market_avg_days_to_sell", "n_similar_vehicles_listed"]
@@ -224,15 +223,18 @@ def linear_oracles(split: str, fold: str, inner: str) -> dict[str, str]:
         _data(split, fold, inner, where="make = 'Brand#8'") + _fit_sql("ols", 200) + _report("ols")
     )
     ols = data + _fit_sql("ols") + PREDICTED
-    out["ols_predictions"] = (
-        ols + " SELECT quote_id, expected_margin, round(prediction, 4) AS prediction FROM predicted"
-        " WHERE expected_margin <> 0"
-    )
-    out["ols_predicted_line"] = (
-        ols + " SELECT count(*) AS n, round(regr_slope(prediction, expected_margin), 4) AS slope,"
-        " round(regr_intercept(prediction, expected_margin), 4) AS intercept FROM predicted"
-        " WHERE expected_margin <> 0 AND split = 'train'"
-    )
+    for kind in ("ols", "ridge", "lasso", "elastic_net"):
+        predicted = data + _fit_sql(kind) + PREDICTED
+        out[f"{kind}_predictions"] = (
+            predicted + " SELECT quote_id, expected_margin, round(prediction, 4) AS prediction FROM predicted"
+            " WHERE expected_margin <> 0"
+        )
+        for name, part in (("line", "train"), ("line_test", "test")):
+            out[f"{kind}_predicted_{name}"] = (
+                predicted + " SELECT count(*) AS n, round(regr_slope(prediction, expected_margin), 4) AS slope,"
+                " round(regr_intercept(prediction, expected_margin), 4) AS intercept FROM predicted"
+                f" WHERE expected_margin <> 0 AND split = '{part}'"
+            )
     out["ols_unsold_scores"] = (
         ols + " SELECT count(*) AS n, round(avg(prediction), 4) AS avg_prediction FROM predicted"
         " WHERE expected_margin = 0"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,7 @@ from forecourt.operators import ml
 from forecourt.operators import moments as mo
 from forecourt.operators import pnl as pl
 from forecourt.operators import quality as qu
+from forecourt.operators.quantiles import box_stats
 from forecourt.plans.charts import CHARTS
 from forecourt.schema import NUMERIC_FEATURES
 from forecourt.sources import quotes as src
@@ -94,6 +95,7 @@ def on_sold(name: str, places: int | None = 6):
 
 
 on_raw("source_profile")(src.profile_source)
+on_raw("source_partitions")(src.source_partitions)
 on_raw("preview_quotes")(src.preview)
 
 
@@ -159,7 +161,7 @@ def _(df):
 
 on_clean("pnl")(pl.pnl)
 on_clean("margin_summary")(pl.margin_summary)
-on_clean("summary_sheet")(lambda df: pl.cross_one_row([pl.pnl(df), pl.margin_summary(df)]))
+on_clean("summary_sheet")(pl.summary_sheet)
 on_clean("pct_to_market_fit")(pl.fit_pct_to_market)
 on_clean("pct_to_market_fit_by_make")(lambda df: pl.fit_pct_to_market(df, ["make"]))
 
@@ -177,7 +179,8 @@ def _(df):
 
 @on_clean("pct_to_market_applied_by_make", 4)
 def _(df):
-    scored = pl.apply_pct_to_market(df, pl.fit_pct_to_market(df, ["make"]), ["make"])
+    fitted = src.stored(pl.fit_pct_to_market(df, ["make"], sums=True))
+    scored = pl.apply_pct_to_market(df, fitted, ["make"])
     return pl.rmse(cl.sold(scored), "expected_margin", "predicted_margin")
 
 
@@ -241,6 +244,18 @@ def _(df):
     return agg.order_by(agg.group_stat(cl.sold(df), "make", "margin"), "avg_margin", "make")
 
 
+@on_clean("percent_box_by_make")
+def _(df):
+    return box_stats(df, "make", "percent_to_market")
+
+
+@on_clean("profit_box_by_region")
+def _(df):
+    """Quartiles of a column too wide for 32 bits."""
+    big = df.withColumn("big", F.col("total_margin").cast("bigint") * F.lit(10_000_000_000))
+    return box_stats(big, "region_short_code", "big")
+
+
 # Features
 
 
@@ -288,6 +303,17 @@ def _(df):
     return fe.one_hot(df.select("quote_id", "make"), "make", MAKES[0])
 
 
+@on_sold("one_hot_zip_totals")
+def _(df):
+    """Rows of each dummy; there are as many as zip codes, less the rarest."""
+    wide = fe.one_hot(df.select("location_zip"), "location_zip", prefix="zip_")
+    dummies = [c for c in wide.columns if c.startswith("zip_")]
+    totals = wide.agg(*[F.sum(c).cast("bigint").alias(c) for c in dummies])
+    return totals.select(F.posexplode(F.array(*dummies)).alias("position", "n")).select(
+        F.element_at(F.array(*map(F.lit, dummies)), F.col("position") + 1).alias("feature"), "n"
+    )
+
+
 @on_sold("one_hot_source")
 def _(df):
     return fe.one_hot(df.select("quote_id", "seller_source"), "seller_source", "iOS", "seller_")
@@ -321,9 +347,9 @@ def _(df):
 # Models fitted from moments
 
 
-def _linear_data(df: DataFrame) -> li.LinearData:
+def _linear_data(df: DataFrame, extra: Sequence[str] = ()) -> li.LinearData:
     return li.linear_data(
-        fe.feature_set(df, "segment", key="quote_id"),
+        fe.feature_set(df, "segment", key="quote_id", extra=extra),
         NUMERIC_FEATURES,
         ["region_short_code"],
         "expected_margin",
@@ -335,12 +361,14 @@ def _ridge_by_folds(data: li.LinearData) -> li.LinearModel:
     return li.ridge_cv(data, first="folds")
 
 
-for _name, _fit in {
+_FITS = {
     "ols": li.ols,
     "ridge": _ridge_by_folds,
     "lasso": li.lasso_cv,
     "elastic_net": li.elastic_net_cv,
-}.items():
+}
+
+for _name, _fit in _FITS.items():
     on_sold(f"{_name}_report", 4)(lambda df, fit=_fit: li.report([fit(_linear_data(df))]))
     on_sold(f"{_name}_coefficients", 4)(lambda df, fit=_fit: fit(_linear_data(df)).coefficients())
 
@@ -372,17 +400,28 @@ def _(df):
     return li.report([li.ols(data), _ridge_by_folds(data), li.lasso_cv(data)])
 
 
-@on_sold("ols_predictions", 4)
-def _(df):
+def _predictions(df: DataFrame, fit: Callable[[li.LinearData], li.LinearModel]) -> DataFrame:
     data = _linear_data(df)
-    return li.ols(data).transform(data.frame).select("quote_id", "expected_margin", "prediction")
+    return fit(data).transform(data.frame)
 
 
-@on_sold("ols_predicted_line", 4)
-def _(df):
-    data = _linear_data(df)
-    train = li.ols(data).transform(data.frame).filter("_split = 'train'")
-    return ev.pred_vs_actual(train, "expected_margin", "prediction")[1]
+def _line(df: DataFrame, split: str) -> DataFrame:
+    return ev.pred_vs_actual(df.filter(F.col("_split") == split), "expected_margin", "prediction")[1]
+
+
+for _name, _fit in _FITS.items():
+
+    @on_sold(f"{_name}_predictions", 4)
+    def _(df, fit=_fit):
+        return _predictions(df, fit).select("quote_id", "expected_margin", "prediction")
+
+    @on_sold(f"{_name}_predicted_line", 4)
+    def _(df, fit=_fit):
+        return _line(_predictions(df, fit), "train")
+
+    @on_sold(f"{_name}_predicted_line_test", 4)
+    def _(df, fit=_fit):
+        return _line(_predictions(df, fit), "test")
 
 
 @on_clean("ols_unsold_scores", 4)
@@ -538,6 +577,30 @@ def _(df):
     )
 
 
+@on_sold("unseen_levels")
+def _(df):
+    """Levels that a model fitted on a few makes has not seen."""
+    rows = src.stored(_ml_frame(df, "make"))
+    model = ml.lr_pipeline([*CATS, "make"], NUMS).fit(cl.segment_in(rows, MAKES))
+    return ml.unseen_levels(model, rows)
+
+
+@on_sold("forest_importance_total", 4)
+def _(df):
+    train, _ = _train_test(df)
+    table = ml.importances(ml.tree_pipeline("forest", CATS, NUMS).fit(train), train, NUMS)
+    return table.agg(F.count("*").alias("n_features"), F.sum("importance").alias("total"))
+
+
+def _cluster_totals(df: DataFrame, k: int, method: str) -> DataFrame:
+    """All rows and their mean label, put together from the clusters."""
+    profile = ml.cluster_profile(ml.cluster(src.stored(_ml_frame(df)), NUMS, k, method), NUMS)
+    n, label = F.col("n"), F.col("avg_label")
+    return profile.agg(F.sum(n).alias("n"), (F.sum(label * n) / F.sum(n)).alias("avg_label"))
+
+
+on_sold("kmeans_totals", 4)(lambda df: _cluster_totals(df, 4, "kmeans"))
+on_sold("gaussian_mixture_totals", 4)(lambda df: _cluster_totals(df, 3, "gaussian"))
 on_sold("pca_variance", 4)(lambda df: ml.pca(src.stored(_ml_frame(df)), NUMS, 4))
 
 
@@ -570,17 +633,9 @@ on_sold("pmm_actual_line")(lambda df: ev.pred_vs_actual(_pmm(df))[1])
 
 @on_sold("model_comparison", 4)
 def _(df):
-    data = _linear_data(df)
+    data = _linear_data(df, ["calculated_margin"])
     scored = li.ols(data).transform(data.frame, "ols")
-    pmm = _pmm(df).withColumn("_split", fe.split_name())
-    frames = {"pmm": (pmm, "label", "prediction"), "ols": (scored, "expected_margin", "ols")}
-    return ev.compare_models(
-        {
-            f"{name}, {part}": (rows.filter(F.col("_split") == part), y, p)
-            for name, (rows, y, p) in frames.items()
-            for part in ("train", "test")
-        }
-    )
+    return ev.compare_by(scored, "_split", "expected_margin", {"pmm": "calculated_margin", "ols": "ols"})
 
 
 # Cohorts, price tests, ranking
@@ -623,6 +678,7 @@ def _(df):
 
 on_raw("validation")(qu.validate)
 on_raw("duplicate_quotes")(qu.duplicates)
+on_raw("duplicate_cars")(lambda df: qu.duplicates(df, ["make", "model", "year", "location_zip"]))
 on_raw("days_imputed")(lambda df: qu.impute_days(df).select("quote_id", "imputed_days"))
 
 
@@ -631,6 +687,12 @@ def _(df):
     return qu.outliers_iqr(cl.sold(df), "expected_margin", ["make"]).select("quote_id", "expected_margin")
 
 
+@on_clean("margin_inliers_narrow")
+def _(df):
+    near = qu.outliers_iqr(cl.sold(df), "expected_margin", ["make"], reach=0.25)
+    return near.select("quote_id", "expected_margin")
+
+
 @on_raw("margin_outliers")
 def _(df):
     known = df.filter("expected_margin != 0")

@@ -139,3 +139,20 @@ def test_fold_rmse_is_a_mean_of_roots(spark):
 def test_constant_label_has_no_r2(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "label double, prediction double")
     assert ev.evaluate(df).first().r2 is None
+
+
+def test_unseen_levels_are_reported(split):
+    train, _ = split
+    model = ml.lr_pipeline(CATS, NUMS).fit(train)
+    odd = train.limit(3).withColumn("region_short_code", F.lit("us/xxx"))
+    none = train.limit(2).withColumn("region_short_code", F.lit(None).cast("string"))
+    row = ml.unseen_levels(model, train.union(odd).union(none)).first()
+    assert (row.feature, row.n_null, row.n_unseen) == ("region_short_code", 2, 3)
+    assert ml.predict(model, odd.union(none)).filter("prediction is not null").count() == 5
+
+
+def test_predictions_of_one_frame_are_compared_in_one_pass(spark):
+    rows = [("a", 1.0, 1.0, 2.0), ("a", 3.0, 3.0, 2.0), ("b", 5.0, 4.0, 5.0)]
+    df = spark.createDataFrame(rows, "part string, label double, p double, q double")
+    got = {r.model: (r.n, r.rmse) for r in ev.compare_by(df, "part", "label", {"p": "p", "q": "q"}).collect()}
+    assert got == {"p, a": (2, 0.0), "q, a": (2, 1.0), "p, b": (1, 1.0), "q, b": (1, 0.0)}
