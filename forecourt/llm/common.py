@@ -39,7 +39,7 @@ def lowered(column) -> F.Column:
 
 
 #: Rows that Spark hands to Python at once. Texts are long; Spark's default suits short rows.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> None:
