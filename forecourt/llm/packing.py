@@ -8,15 +8,18 @@ window stream is split between two halves of the queues by a rounded share,
 each half again, down to single queues. The remainder of each rounding is the
 carried deficit; it stays below the depth of that tree. Any task can thus
 enter the schedule at any window, and deficits carry across windows and
-partitions without a sequential pass.
+partitions without a sequential pass. Sources too many for the driver are dealt
+to buckets by hash; the same tree goes on inside each bucket, on the executors.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,15 @@ from forecourt.llm.common import stored
 WINDOW = 2048
 END_ID = 1
 
-#: A source with at least this share of all tokens has a queue of its own, so
-#: there are at most as many; all smaller sources share one more queue.
+#: A source with at least this share of all tokens has a place of its own in the
+#: driver's tree, so there are at most as many, and so has each source with a target.
+#: All others are dealt to as many buckets, each with a tree of its sources.
 OWN_QUEUE = 4096
 
+#: Tokens whose pieces a task makes at once. A source with less than a token in a
+#: window has a piece for each token.
+CUT_TOKENS = 1 << 18
+
 #: Parts whose running totals one task adds up.
 PART_BLOCK = 256
 
@@ -82,6 +90,24 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFr
     return stored(narrow.mapInArrow(run, _STAGED))
 
 
+Level = tuple[int, int, bool]
+
+
+def _path(ends: list[int], at: int) -> list[Level]:
+    """Splits from all queues down to queue ``at``: left half, both halves, is right.
+
+    ``ends`` holds the running totals of the queues, from 0.
+    """
+    out = []
+    low, high = 0, len(ends) - 1
+    while high - low > 1:
+        middle = low + (high - low) // 2
+        right = at >= middle
+        out.append((ends[middle] - ends[low], ends[high] - ends[low], right))
+        low, high = (middle, high) if right else (low, middle)
+    return out
+
+
 @dataclass(frozen=True)
 class Phase:
     """A stretch of the stream in which the same queues are served."""
@@ -90,7 +116,11 @@ class Phase:
     total: int
     first: dict[int, int]  # queue: its first token here
     amount: dict[int, int]  # queue: its tokens here
-    path: dict[int, tuple[tuple[int, int, bool], ...]]  # queue: (left half, both halves, is right)
+    order: list[int]  # the queues, sorted
+    ends: list[int]  # their running totals
+
+    def path(self, queue: int) -> list[Level]:
+        return _path(self.ends, bisect_left(self.order, queue))
 
 
 def schedule(totals: list[int], weights: list[float] | None = None) -> list[Phase]:
@@ -109,21 +139,10 @@ def schedule(totals: list[int], weights: list[float] | None = None) -> list[Phas
         rounds = min(left[q] / w for q, w in target.items())
         amount = {q: int(w * rounds) for q, w in target.items()}
         amount = {q: n for q, n in amount.items() if n}
-        path: dict[int, tuple] = {q: () for q in amount}
-
-        def split(queues: list[int], amount=amount, path=path) -> None:
-            if len(queues) < 2:
-                return
-            lower, upper = queues[: len(queues) // 2], queues[len(queues) // 2 :]
-            a, b = sum(amount[q] for q in lower), sum(amount[q] for q in queues)
-            for q in queues:
-                path[q] += ((a, b, q in upper),)
-            split(lower)
-            split(upper)
-
-        split(sorted(amount))
-        total = sum(amount.values())
-        out.append(Phase(start, total, {q: spent[q] for q in amount}, amount, path))
+        order = sorted(amount)
+        ends = list(accumulate((amount[q] for q in order), initial=0))
+        total = ends[-1]
+        out.append(Phase(start, total, {q: spent[q] for q in amount}, amount, order, ends))
         start += total
         for q, n in amount.items():
             spent[q] += n
@@ -132,19 +151,36 @@ def schedule(totals: list[int], weights: list[float] | None = None) -> list[Phas
     return out
 
 
-def _position(phase: Phase, queue: int, i: np.ndarray) -> np.ndarray:
+def _levels(paths: list[list[Level]], kind: type) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each level of all paths as arrays; levels past a path's end keep a place."""
+    shape = max(map(len, paths), default=0), len(paths)
+    left, both, right = np.ones(shape, kind), np.ones(shape, kind), np.zeros(shape, bool)
+    for k, path in enumerate(paths):
+        if path:
+            left[: len(path), k], both[: len(path), k], right[: len(path), k] = zip(*path, strict=True)
+    return list(zip(left, both, right, strict=True))
+
+
+def _position(levels: list[tuple], i: np.ndarray) -> np.ndarray:
     """Place in the phase's stream of the queue's token ``i``."""
-    for a, b, right in reversed(phase.path[queue]):
-        i = i * b // (b - a) if right else -(-(i + 1) * b // a) - 1
+    for a, b, right in reversed(levels):
+        if isinstance(right, np.ndarray):
+            mine = np.where(right, b - a, a)
+            i = np.where(right, i * b // mine, -(-(i + 1) * b // mine) - 1)
+        else:
+            i = i * b // (b - a) if right else -(-(i + 1) * b // a) - 1
     return i
 
 
-def _share(phase: Phase, queue: int, lo: np.ndarray, hi: np.ndarray) -> tuple:
+def _share(levels: list[tuple], lo: np.ndarray, hi: np.ndarray) -> tuple:
     """Of the stream's [lo, hi): tokens of earlier queues, and the queue's own from and to."""
     ahead = lo * 0
-    for a, b, right in phase.path[queue]:
+    for a, b, right in levels:
         lo_left, hi_left = lo * a // b, hi * a // b
-        if right:
+        if isinstance(right, np.ndarray):
+            ahead = np.where(right, ahead + hi_left - lo_left, ahead)
+            lo, hi = np.where(right, lo - lo_left, lo_left), np.where(right, hi - hi_left, hi_left)
+        elif right:
             ahead = ahead + hi_left - lo_left
             lo, hi = lo - lo_left, hi - hi_left
         else:
@@ -152,13 +188,41 @@ def _share(phase: Phase, queue: int, lo: np.ndarray, hi: np.ndarray) -> tuple:
     return ahead, lo, hi
 
 
+def _pieces(phase: Phase, window: int, levels: list[tuple], lo: np.ndarray, end: np.ndarray) -> Iterator[tuple]:
+    """Row, token of the queue, length, window and offset of the pieces of [lo, end), for all rows at once.
+
+    ``levels`` has numbers, for all rows, or arrays with a place for each.
+    """
+    row = np.arange(len(lo))
+    while len(row):
+        w = (phase.start + _position(levels, lo)) // window
+        begin = np.maximum(w * window - phase.start, 0)
+        stop = np.minimum((w + 1) * window - phase.start, phase.total)
+        ahead, mine, until = _share(levels, begin, stop)
+        until = np.minimum(end, until)
+        yield row, lo, until - lo, w, phase.start + begin - w * window + ahead + lo - mine
+        more = until < end
+        row, lo, end = row[more], until[more], end[more]
+        if levels and isinstance(levels[0][0], np.ndarray):
+            levels = [tuple(x[more] for x in level) for level in levels]
+
+
+def _kind(phases: list[Phase], window: int) -> type:
+    size = sum(p.total for p in phases)
+    return np.int64 if (size + window) ** 2 < 2**62 else object
+
+
+def _in_order(pieces: list[np.ndarray]) -> np.ndarray:
+    found = np.concatenate(pieces, axis=1) if pieces else np.zeros((5, 0), np.int64)
+    return found[:, np.lexsort((found[1], found[0]))]
+
+
 def cut(phases: list[Phase], window: int, queue: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Pieces of documents at [first, first + count) of a queue.
 
     Columns: row, start in the document, length, window, offset in the window.
     """
-    size = sum(p.total for p in phases)
-    kind = np.int64 if (size + window) ** 2 < 2**62 else object
+    kind = _kind(phases, window)
     out = []
     for phase in phases:
         if queue not in phase.amount:
@@ -166,34 +230,83 @@ def cut(phases: list[Phase], window: int, queue: int, first: np.ndarray, count:
         origin = phase.first[queue]
         lo = np.maximum(first - origin, 0).astype(kind)
         end = np.minimum(first + count - origin, phase.amount[queue]).astype(kind)
-        row = np.flatnonzero(lo < end)
-        lo, end = lo[row], end[row]
-        while len(row):
-            w = (phase.start + _position(phase, queue, lo)) // window
-            begin = np.maximum(w * window - phase.start, 0)
-            stop = np.minimum((w + 1) * window - phase.start, phase.total)
-            ahead, mine, until = _share(phase, queue, begin, stop)
-            until = np.minimum(end, until)
-            offset = phase.start + begin - w * window + ahead + lo - mine
-            out.append(np.stack([row, lo + origin - first[row], until - lo, w, offset]).astype(np.int64))
-            more = until < end
-            row, lo, end = row[more], until[more], end[more]
-    found = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
-    return found[:, np.lexsort((found[1], found[0]))]
+        live = np.flatnonzero(lo < end)
+        if len(live):
+            for row, at, length, w, offset in _pieces(phase, window, phase.path(queue), lo[live], end[live]):
+                row = live[row]
+                out.append(np.stack([row, at + origin - first[row], length, w, offset]).astype(np.int64))
+    return _in_order(out)
+
+
+def cut_small(
+    phases: list[Phase], window: int, queue: np.ndarray, inner: list[list[Level]], first: np.ndarray, count: np.ndarray
+) -> np.ndarray:
+    """The same for sources in buckets: each row has its bucket's queue and its source's path inside.
+
+    Buckets have no target, so one phase, the last, spends all of each.
+    """
+    kind = _kind(phases, window)
+    outer = {int(q): phases[-1].path(int(q)) for q in np.unique(queue)}
+    levels = _levels([outer[q] + path for q, path in zip(queue.tolist(), inner, strict=True)], kind)
+    out = []
+    lo = first.astype(kind)
+    for row, at, length, w, offset in _pieces(phases[-1], window, levels, lo, lo + count):
+        out.append(np.stack([row, at - first[row], length, w, offset]).astype(np.int64))
+    return _in_order(out)
+
+
+_SMALL = "source string, bucket int, lefts array<long>, boths array<long>, rights array<boolean>"
+
+
+def _bucket_paths(table: pa.Table) -> pa.Table:
+    """Path of each source of one bucket through the tree of the bucket's sources."""
+    table = table.sort_by("source")
+    ends = list(accumulate(table.column("n").to_pylist(), initial=0))
+    paths = [_path(ends, k) for k in range(len(table))]
+    columns = [pa.array([[level[c] for level in path] for path in paths], pa.list_(t)) for c, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+    return pa.table([table.column("source"), table.column("bucket"), *columns], ["source", "bucket", "lefts", "boths", "rights"])
 
 
-def queues(staged: DataFrame, targets: dict[str, float] | None = None) -> tuple[dict[str, int], list[int], list[float] | None]:
-    """Queue number of each source that has one; tokens and weight of each queue; the last is shared."""
-    per_source = staged.groupBy("source").agg(F.sum("n_tokens").alias("n"))
-    size = staged.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
-    large = per_source.filter(F.col("n") * OWN_QUEUE >= size).orderBy("source").collect()
-    number = {r.source: i for i, r in enumerate(large)}
-    totals = [r.n for r in large] + [size - sum(r.n for r in large)]
+def queues(
+    staged: DataFrame, targets: dict[str, float] | None = None
+) -> tuple[dict[str, int], list[int], list[float] | None, DataFrame]:
+    """Queue number of each source that has one; tokens and weight of each queue; the other sources.
+
+    The last ``OWN_QUEUE`` queues are the buckets. The other sources' table has
+    the bucket and the path inside it of each.
+    """
+    spark = staged.sparkSession
+    per_source = stored(staged.groupBy("source").agg(F.sum("n_tokens").alias("n")))
+    size = per_source.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    wanted = [(s,) for s, w in (targets or {}).items() if w > 0]
+    own = per_source.filter(F.col("n") * OWN_QUEUE >= size)
+    if wanted:
+        own = own.union(per_source.join(spark.createDataFrame(wanted, "source string"), "source").select("source", "n")).distinct()
+    own = own.orderBy("source").collect()
+    number = {r.source: i for i, r in enumerate(own)}
+    numbers = spark.createDataFrame([(s,) for s in number], "source string")
+    others = per_source.join(numbers, "source", "left_anti").withColumn(
+        "bucket", F.pmod(F.xxhash64("source"), F.lit(OWN_QUEUE)).cast("int")
+    )
+    totals = [r.n for r in own] + [0] * OWN_QUEUE
+    for r in others.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        totals[len(own) + r.bucket] = r.n
     weights = None
     if targets is not None:
-        weights = [float(targets.get(r.source, 0)) for r in large]
-        weights.append(float(sum(w for s, w in targets.items() if s not in number)))
-    return number, totals, weights
+        weights = [float(targets.get(r.source, 0)) for r in own] + [0.0] * OWN_QUEUE
+    return number, totals, weights, stored(others.groupBy("bucket").applyInArrow(_bucket_paths, _SMALL))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows that hold ``CUT_TOKENS`` tokens at most, or one row."""
+    begin = held = 0
+    for k, n in enumerate(batch.column("n_tokens").to_pylist()):
+        if k > begin and held + n > CUT_TOKENS:
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(begin)
 
 
 def pack(
@@ -207,48 +320,62 @@ def pack(
     null; an empty table gives no rows; other columns are ignored.
     """
     staged = token_table(docs, tokenizer, end_id)
-    number, totals, weights = queues(staged, targets)
+    number, totals, weights, others = queues(staged, targets)
     phases = schedule(totals, weights)
-    shared = len(totals) - 1
 
-    # Running totals of the parts, by blocks of parts, so that no task adds up all of them.
+    # Running totals of each source's parts, by blocks of parts, so that no task adds up all of them.
     spark = docs.sparkSession
-    numbers = spark.createDataFrame([(s, q) for s, q in number.items()], "source string, queue int")
+    numbers = spark.createDataFrame([(s, q) for s, q in number.items()], "source string, own int")
     cells = (
         staged.groupBy("part", "source")
         .agg(F.sum("n_tokens").alias("n"))
-        .join(numbers, "source", "left")
-        .select("part", "source", "n", F.coalesce("queue", F.lit(shared)).alias("queue"))
         .withColumn("block", F.expr(f"part div {PART_BLOCK}"))
     )
-    blocks = cells.groupBy("queue", "block").agg(F.sum("n").alias("n"))
+    blocks = cells.groupBy("source", "block").agg(F.sum("n").alias("n"))
     earlier = W.rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select(
-        "queue",
+        "source",
         "block",
-        F.coalesce(F.sum("n").over(earlier.partitionBy("queue").orderBy("block")), F.lit(0)).alias("block_at"),
+        F.coalesce(F.sum("n").over(earlier.partitionBy("source").orderBy("block")), F.lit(0)).alias("block_at"),
     )
-    inside = F.sum("n").over(earlier.partitionBy("queue", "block").orderBy("source", "part"))
+    inside = F.sum("n").over(earlier.partitionBy("source", "block").orderBy("part"))
     cells = stored(
         cells.withColumn("inside", F.coalesce(inside, F.lit(0)))
-        .join(blocks, ["queue", "block"])
-        .select("part", "source", "queue", (F.col("block_at") + F.col("inside")).alias("cell_at"))
+        .join(blocks, ["source", "block"])
+        .join(numbers, "source", "left")
+        .join(others, "source", "left")
+        .select(
+            "part",
+            "source",
+            F.coalesce("own", F.col("bucket") + len(number)).alias("queue"),
+            (F.col("block_at") + F.col("inside")).alias("cell_at"),
+            "lefts",
+            "boths",
+            "rights",
+        )
     )
     # The stored cells' size is known, so Spark broadcasts them only below its threshold.
     placed = staged.join(cells, ["part", "source"]).select(
-        "doc_id", "source", "queue", (F.col("cell_at") + F.col("before")).alias("at"), "n_tokens", "ids"
+        "doc_id", "source", "queue", "lefts", "boths", "rights", (F.col("cell_at") + F.col("before")).alias("at"), "n_tokens", "ids"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             queue = batch.column("queue").to_numpy()
             at, count = batch.column("at").to_numpy(), batch.column("n_tokens").to_numpy()
             found = []
-            for q in np.unique(queue):
+            for q in np.unique(queue[queue < len(number)]):
                 rows = np.flatnonzero(queue == q)
                 part = cut(phases, window, int(q), at[rows], count[rows])
                 part[0] = rows[part[0]]
                 found.append(part)
+            rows = np.flatnonzero(queue >= len(number))
+            if len(rows):
+                levels = (batch.column(c).take(pa.array(rows)).to_pylist() for c in ("lefts", "boths", "rights"))
+                inner = [list(zip(*path, strict=True)) for path in zip(*levels, strict=True)]
+                part = cut_small(phases, window, queue[rows], inner, at[rows], count[rows])
+                part[0] = rows[part[0]]
+                found.append(part)
             if not found:
                 continue
             row, start, length, sequence, offset = np.concatenate(found, axis=1)

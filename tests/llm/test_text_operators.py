@@ -86,6 +86,55 @@ def test_packing_empty_table(spark):
     assert packing.pack(documents(spark, []), TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize("own_queue", [4, 4096])
+def test_packing_mixes_many_small_sources(spark, monkeypatch, own_queue):
+    monkeypatch.setattr(packing, "OWN_QUEUE", own_queue)
+    draw, tail, per = random.Random(4), 300, 2
+    sources = [f"site{k}" for k in range(tail) for _ in range(per)] + ["big"] * 40
+    texts = [" ".join(draw.choices(["alpha", "beta"], k=20 if s != "big" else 300)) for s in sources]
+    docs = documents(spark, texts, sources).repartition(3)
+    rows = packing.pack(docs, TOKENIZER, window=1024).collect()
+    ids = [np.frombuffer(tokens.encode(TOKENIZER, t), "<u4").tolist() + [1] for t in texts]
+    size = sum(map(len, ids))
+    total, spent, filled, pieces = {}, {}, {}, {}
+    for s, i in zip(sources, ids, strict=True):
+        total[s] = total.get(s, 0) + len(i)
+    for r in rows:
+        spent[r.source, r.sequence_id] = spent.get((r.source, r.sequence_id), 0) + r.length
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for doc, found in pieces.items():
+        at = 0
+        for start, length, crc in sorted(found):
+            assert start == at and crc == zlib.crc32(np.array(ids[doc][at : at + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids[doc])
+    assert len(pieces) == len(texts) and sorted(filled) == list(range(-(-size // 1024)))
+    for w, found in filled.items():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at == min(1024, size - 1024 * w)
+    for s, n in total.items():
+        sofar = 0
+        for w in range(size // 1024):
+            sofar += spent.get((s, w), 0)
+            assert abs(sofar - n * 1024 * (w + 1) / size) <= 14  # below the depth of both trees
+
+
+def test_packing_small_source_holds_its_own_target(spark, monkeypatch):
+    monkeypatch.setattr(packing, "OWN_QUEUE", 4)
+    sources = ["big"] * 30 + ["one"] * 2 + ["two"] * 2
+    texts = ["alpha " * 300 if s == "big" else "alpha " * 40 for s in sources]
+    rows = packing.pack(documents(spark, texts, sources), TOKENIZER, window=100, targets={"big": 0.6, "one": 0.3, "two": 0.1}).collect()
+    first = {}
+    for r in rows:
+        if r.sequence_id == 0:
+            first[r.source] = first.get(r.source, 0) + r.length
+    assert all(abs(first.get(s, 0) - n) <= 3 for s, n in {"big": 60, "one": 30, "two": 10}.items())
+
+
 def test_pages():
     chain = html.trained()
     page = (
