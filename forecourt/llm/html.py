@@ -17,15 +17,20 @@ from pyspark.sql import functions as F
 PAGES, STEPS = 500, 150
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?>=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*+)>"
     r"|</?[A-Za-z][^>]*(?:>|\Z)",
     re.DOTALL,
 )
-_RAW = frozenset("script style noscript template textarea svg math iframe object select".split())
+#: Their text is no markup, or never shown: skipped to the close tag, or to the end of the page.
+_RAW = frozenset("script style textarea title iframe template".split())
+#: Not shown, but only where their close tag comes before their parent's.
+_UNSEEN = frozenset("svg select noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s "
-    "samp small span strike strong sub sup time tt u var wbr input button picture source".split()
+    "samp small span strike strong sub sup time tt u var wbr input button picture source object math mi mn mo ms mtext "
+    "mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd mstyle mpadded mphantom "
+    "menclose mfenced mspace merror maction semantics annotation annotation-xml".split()
 )
 #: Opening one of these ends an open element of the second list, up to the nearest of the third.
 _IMPLIED = {
@@ -59,6 +64,39 @@ def _names(rest: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def _raw_end(html: str, tag: str, at: int) -> int:
+    stop = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, at)
+    return stop.end() if stop else len(html)
+
+
+def _unseen(html: str) -> dict[int, int]:
+    """Ends of the open and close tags of the unseen elements that are closed inside their parent."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    at = 0
+    while m := _TOKEN.search(html, at):
+        at = m.end()
+        tag = (m["tag"] or "").lower()
+        if not tag or tag in _INLINE or tag in _VOID:
+            continue
+        if m["close"]:
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] == tag:
+                    if tag in _UNSEEN:
+                        out[stack[depth][1]] = at
+                    del stack[depth:]
+                    break
+        elif not m["rest"].endswith("/"):
+            if tag in _RAW:
+                at = _raw_end(html, tag, at)
+            else:
+                stack.append((tag, at))
+    return out
+
+
+_ANY_UNSEEN = re.compile(rf"<(?:{'|'.join(sorted(_UNSEEN))})\b", re.IGNORECASE)
+
+
 def blocks(html: str) -> list[Block]:
     """Leaf blocks with text in page order.
 
@@ -88,6 +126,7 @@ def blocks(html: str) -> list[Block]:
             if links:
                 linked += len(piece)
 
+    unseen = _unseen(html) if _ANY_UNSEEN.search(html) else {}
     at = 0
     end = len(html)
     while at < end:
@@ -99,10 +138,14 @@ def blocks(html: str) -> list[Block]:
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
-        if tag in _RAW or tag in ("head", "title"):
-            if not m["close"] and not m["rest"].endswith("/") and tag != "head":
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, at)
-                at = stop.end() if stop else end
+        if tag == "head":
+            continue
+        if tag in _RAW:
+            if not m["close"] and not m["rest"].endswith("/"):
+                at = _raw_end(html, tag, at)
+            continue
+        if tag in _UNSEEN:
+            at = unseen.get(at, at) if not m["close"] else at
             continue
         if tag in _INLINE:
             if tag == "a":

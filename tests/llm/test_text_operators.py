@@ -150,6 +150,29 @@ def test_pages():
         assert isinstance(html.main_text(chain, odd), str)
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "select", "noscript"])
+def test_unclosed_element_keeps_the_rest_of_the_page(tag):
+    page = f"<div><p>Before it.</p><{tag} class=x></div><div><p>After it.</p><noscript><p>Hidden.</p></noscript><p>Last.</p></div>"
+    assert [b.text for b in html.blocks(page)] == ["Before it.", "After it.", "Last."]
+    assert [b.text for b in html.blocks(f"<p>One <{tag}>two")] == ["One two"]
+
+
+def test_math_and_object_text_stay_and_unseen_text_goes():
+    page = (
+        "<article><p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds <svg><text>no</text></svg>here.</p><object data=a><p>Fallback.</p></object>"
+        "<div><noscript><div>no</div></noscript>Shown.<select><option>no<option>no</select></div><svg><svg></svg><title>no</title></svg></article>"
+    )
+    assert [b.text for b in html.blocks(page)] == ["Where x=1 holds here.", "Fallback.", "Shown."]
+    assert isinstance(html.blocks("<svg>" * 5000), list)
+
+
+def test_quotes_in_tags_start_after_an_equals_sign():
+    page = "<p><a href=/x title=Bob's>link</a> first part.</p><p>Second it's here</p>"
+    assert [b.text for b in html.blocks(page)] == ["link first part.", "Second it's here"]
+    page = "<p><a href=/x?a='b rel=c>link</a> one.</p><p title = 'a > b' data-x=\"c > d\">It's two.</p>"
+    assert [b.text for b in html.blocks(page)] == ["link one.", "It's two."]
+
+
 def test_pages_held_out():
     chain, right, total = html.trained(), 0, 0
     for fs, truth in html.labelled(150, seed=99):
