@@ -39,7 +39,7 @@ END_ID = 1
 #: All others are dealt to as many buckets, each with a tree of its sources.
 OWN_QUEUE = 4096
 
-#: Tokens whose pieces a task makes at once. A source with less than a token in a
+#: Tokens of small sources whose pieces a task makes at once. A source with less than a token in a
 #: window has a piece for each token.
 CUT_TOKENS = 1 << 18
 
@@ -297,10 +297,11 @@ def queues(
     return number, totals, weights, stored(others.groupBy("bucket").applyInArrow(_bucket_paths, _SMALL))
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows that hold ``CUT_TOKENS`` tokens at most, or one row."""
+def _slices(batch: pa.RecordBatch, own: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows that hold ``CUT_TOKENS`` tokens of small sources at most, or one row of these."""
     begin = held = 0
-    for k, n in enumerate(batch.column("n_tokens").to_pylist()):
+    queue, count = batch.column("queue").to_numpy(), batch.column("n_tokens").to_numpy()
+    for k, n in enumerate(np.where(queue < own, 0, count).tolist()):
         if k > begin and held + n > CUT_TOKENS:
             yield batch.slice(begin, k - begin)
             begin, held = k, 0
@@ -360,7 +361,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _slices(whole)):
+        for batch in (part for whole in batches for part in _slices(whole, len(number))):
             queue = batch.column("queue").to_numpy()
             at, count = batch.column("at").to_numpy(), batch.column("n_tokens").to_numpy()
             found = []
