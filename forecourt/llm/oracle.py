@@ -91,9 +91,84 @@ SELECT doc_id, n::BIGINT AS n_words, n_gone::BIGINT AS n_removed, sha256(array_t
 FROM kept
 """
 
+#: Levels of the trees in the SQL: up to 8^9 rows of a language and 8^4 languages.
+LEAF_LEVELS, NAME_LEVELS = 9, 4
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text, by half bytes."""
+    # The checksum's remainders of the 16 half bytes, fixed values.
+    table = (
+        "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, "
+        "3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+    )
+    half = f"xor(({{0}}) >> 4, ({table})[(({{0}}) & 15) + 1])"
+    step = half.format(half.format("xor(a, b)"))
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda a, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+def _digest(columns: list[str]) -> str:
+    sized = (f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in columns)
+    return f"sha256({' || '.join(sized)})"
+
+
+def _tree(name: str, levels: int) -> str:
+    """Levels ``name``0 to ``name``N of (g, p, n, d): digests and places by group, and with each run its siblings."""
+    out = []
+    for k in range(levels):
+        out.append(
+            f"{name}{k + 1} AS (SELECT g, p // 8 AS p, (n + 7) // 8 AS n, "
+            f"CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY p)) ELSE min(d) END AS d, "
+            f"list(d ORDER BY p) AS run FROM {name}{k} GROUP BY g, p // 8, n)"
+        )
+    return ",\n".join(out)
+
+
+def _path(name: str, levels: int, start: str, proof: str, source: str, keep: str) -> str:
+    """Steps of folding and of the proof from ``source`` (g, p, n, ...) up the levels of a tree."""
+    out, at = [], source
+    for k in range(levels):
+        slot = f"(s.p // {8**k}) % 8"
+        left = f"array_to_string(t.run[1:{slot}], '')"
+        right = f"array_to_string(t.run[{slot} + 2:], '')"
+        many = f"s.n > {8**k}"
+        out.append(
+            f"{name}_path{k + 1} AS (SELECT {keep}, CASE WHEN {many} THEN sha256({left} || s.{start} || {right}) ELSE s.{start} END AS {start}, "
+            f"CASE WHEN {many} THEN s.{proof} || {left} || {right} ELSE s.{proof} END AS {proof} "
+            f"FROM {at} s JOIN {name}{k + 1} t ON t.g = s.g AND t.p = s.p // {8 ** (k + 1)})"
+        )
+        at = f"{name}_path{k + 1}"
+    return ",\n".join(out)
+
+
+_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+MANIFEST = f"""
+WITH v AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS g, {_digest(_FIELDS)} AS d,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN {_digest([*_FIELDS[:4], _LOWER.format("text")])} END AS other
+  FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM v),
+leaf0 AS (SELECT g, p, n, d FROM r),
+{_tree("leaf", LEAF_LEVELS)},
+names AS (SELECT g AS name, d, '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS p, count(*) OVER () AS n FROM leaf{LEAF_LEVELS}),
+name0 AS (SELECT g, p, n, d FROM names),
+{_tree("name", NAME_LEVELS)},
+start AS (SELECT doc_id, d AS leaf, g, p, n, coalesce(other, d) AS fold, '' AS proof FROM r),
+{_path("leaf", LEAF_LEVELS, "fold", "proof", "start", "s.doc_id, s.leaf, s.g, s.p, s.n")},
+middle AS (
+  SELECT s.doc_id, s.leaf, s.fold, s.proof, '' AS g, t.p, t.n, t.d AS subroot
+  FROM leaf_path{LEAF_LEVELS} s JOIN names t ON t.name = s.g),
+{_path("name", NAME_LEVELS, "fold", "proof", "middle", "s.doc_id, s.leaf, s.g, s.p, s.n, s.subroot")}
+SELECT doc_id, leaf, subroot, t.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = t.d AS verified
+FROM name_path{NAME_LEVELS} s CROSS JOIN name{NAME_LEVELS} t
+"""
+
 ORACLES: dict[str, str] = {
     "op3_warc": WARC,
     "op7_neardup": NEARDUP,
     "op8_decontamination": DECONTAMINATION,
     "op9_substring": SUBSTRING,
+    "op12_manifest": MANIFEST,
 }

@@ -7,20 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm import decontamination, html, neardup, packing, pii, quality, secrets, sharding, substring, warc
+from forecourt.llm import (
+    bytepair,
+    decontamination,
+    html,
+    manifest,
+    neardup,
+    packing,
+    periodic,
+    pii,
+    quality,
+    secrets,
+    sharding,
+    substring,
+    warc,
+)
 from forecourt.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,6 +91,24 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
 
+def op11_bytepair(spark: SparkSession, folder: str) -> DataFrame:
+    found = bytepair.encode_decode(table(spark, folder, "documents"), tokenizer_path(BYTE_TOKENIZER))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest(table(spark, folder, "documents"), tamper=True)
+
+
+def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, folder, "documents"), plant=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_html": op2_html,
@@ -88,4 +120,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_substring": op9_substring,
     "op10_secrets": op10_secrets,
+    "op11_bytepair": op11_bytepair,
+    "op12_manifest": op12_manifest,
+    "op13_periodic": op13_periodic,
 }
