@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -161,11 +162,12 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             count, body = _spelled(row)
             ends = np.concatenate([[0], np.cumsum(count)])
+            text = pa.LargeStringArray.from_buffers(len(count), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(body))
+            order = pc.sort_indices(text)  # neighbours that start alike compress well
             for a in range(0, len(count), GROUPED):
-                b = min(a + GROUPED, len(count))
-                offsets = (ends[a : b + 1] - ends[a]).astype(np.int32)
-                text = pa.StringArray.from_buffers(b - a, pa.py_buffer(offsets), pa.py_buffer(body[ends[a] : ends[b]]))
-                yield pa.RecordBatch.from_arrays([text, pa.array([row["block"]] * (b - a), pa.int64()), pa.array(range(a, b), pa.int32())], ["word", "block", "place"])
+                place = order[a : a + GROUPED]
+                block = pa.array(np.full(len(place), row["block"], np.int64))
+                yield pa.RecordBatch.from_arrays([text.take(place).cast(pa.string()), block, place.cast(pa.int32())], ["word", "block", "place"])
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -193,7 +195,8 @@ def _word_table(words: DataFrame, path: str) -> DataFrame:
 
     # Counting both columns keeps them in the shuffled rows, so that one shuffle serves this table and the join with it.
     distinct = words.groupBy("word").agg(F.count(F.col("block") + F.col("place")).alias("n_blocks"))
-    encoded = distinct.filter("n_blocks > 0").select("word").mapInArrow(run, "word string, ids array<int>").repartition("word")
+    distinct = distinct.filter("n_blocks > 0").select("word").sortWithinPartitions("word")
+    encoded = distinct.mapInArrow(run, "word string, ids array<int>").repartition("word")
     encoded = encoded.select("word", F.posexplode("ids").alias("at", "id"))
     # The vocabulary's size is the tokenizer's, whatever the corpus.
     parts = encoded.join(F.broadcast(pieces(words.sparkSession, path)), "id", "left")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 PAGES, STEPS = 500, 150
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?>=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*+)>"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?>=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*+)>"
     r"|</?[A-Za-z][^>]*(?:>|\Z)",
     re.DOTALL,
 )
@@ -44,6 +44,8 @@ _IMPLIED = {
 }
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
+#: An unquoted value at the end of a tag; a slash there belongs to it.
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>][^\s>]*$")
 
 
 class Block:
@@ -55,6 +57,11 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+def _closed(rest: str) -> bool:
+    """Whether a tag closes its own element."""
+    return rest.endswith("/") and not _UNQUOTED.search(rest)
+
+
 @lru_cache(maxsize=4096)
 def _names(rest: str) -> frozenset[str]:
     """Words of the class, id and role of a tag."""
@@ -86,7 +93,7 @@ def _unseen(html: str) -> dict[int, int]:
                         out[stack[depth][1]] = at
                     del stack[depth:]
                     break
-        elif not m["rest"].endswith("/"):
+        elif not _closed(m["rest"]):
             if tag in _RAW:
                 at = _raw_end(html, tag, at)
             else:
@@ -141,7 +148,7 @@ def blocks(html: str) -> list[Block]:
         if tag == "head":
             continue
         if tag in _RAW:
-            if not m["close"] and not m["rest"].endswith("/"):
+            if not m["close"] and not _closed(m["rest"]):
                 at = _raw_end(html, tag, at)
             continue
         if tag in _UNSEEN:
@@ -171,7 +178,7 @@ def blocks(html: str) -> list[Block]:
                 if stack[depth][0] in ended:
                     del stack[depth:]
                     break
-        if tag not in _VOID and not m["rest"].endswith("/"):
+        if tag not in _VOID and not _closed(m["rest"]):
             stack.append((tag, _names(m["rest"])))
     flush()
     return out

@@ -43,6 +43,9 @@ OWN_QUEUE = 4096
 #: window has a piece for each token.
 CUT_TOKENS = 1 << 18
 
+#: Documents, and bytes of their ids, that a task cuts together.
+CUT_ROWS, CUT_BYTES = 4096, 1 << 25
+
 #: Parts whose running totals one task adds up.
 PART_BLOCK = 256
 
@@ -53,7 +56,7 @@ _PIECES = (
 )
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID, kept: int = tokens.KEPT) -> DataFrame:
     """Stored token ids of each row of ``docs`` (doc_id, text, source).
 
     ``part`` numbers the writing task, ``before`` the tokens of the same source
@@ -69,7 +72,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFr
             sources = [s or "" for s in batch.column("source").to_pylist()]
             counts, before, bodies = [], [], []
             for source, text in zip(sources, batch.column("text"), strict=True):
-                body = tokens.encode(tokenizer, text.as_py() or "") + end
+                body = tokens.encode(tokenizer, text.as_py() or "", kept) + end
                 counts.append(len(body) // 4)
                 before.append(seen.get(source, 0))
                 seen[source] = before[-1] + counts[-1]
@@ -297,6 +300,19 @@ def queues(
     return number, totals, weights, stored(others.groupBy("bucket").applyInArrow(_bucket_paths, _SMALL))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one, up to ``CUT_ROWS`` rows or ``CUT_BYTES`` bytes and a batch."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= CUT_ROWS or size >= CUT_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _slices(batch: pa.RecordBatch, own: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows that hold ``CUT_TOKENS`` tokens of small sources at most, or one row of these."""
     begin = held = 0
@@ -311,16 +327,22 @@ def _slices(batch: pa.RecordBatch, own: int) -> Iterator[pa.RecordBatch]:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, targets: dict[str, float] | None = None
+    docs: DataFrame,
+    tokenizer: str,
+    window: int = WINDOW,
+    end_id: int = END_ID,
+    targets: dict[str, float] | None = None,
+    kept: int = tokens.KEPT,
 ) -> DataFrame:
     """Pack every token of ``docs`` (doc_id, text, source) into windows, one row per piece.
 
     ``targets`` maps a source to its share of each window; without it a source's
     share is that of its tokens in the corpus. All windows but the last are full.
+    ``kept`` bounds the words whose ids a worker keeps, and so its memory.
     Repeated rows, also of one doc_id, are packed as they come; null ids stay
     null; an empty table gives no rows; other columns are ignored.
     """
-    staged = token_table(docs, tokenizer, end_id)
+    staged = token_table(docs, tokenizer, end_id, kept)
     number, totals, weights, others = queues(staged, targets)
     phases = schedule(totals, weights)
 
@@ -361,7 +383,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _slices(whole, len(number))):
+        for batch in (part for whole in _joined(batches) for part in _slices(whole, len(number))):
             queue = batch.column("queue").to_numpy()
             at, count = batch.column("at").to_numpy(), batch.column("n_tokens").to_numpy()
             found = []

@@ -29,7 +29,8 @@ TAGGED = 512
 
 _PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    # A match always ends with a run of digits and none begins inside one that failed, so only the start of a run is tried.
+    "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -52,7 +53,8 @@ def _digits(text: str) -> str:
 
 def _passes(kind: str, text: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        parts = (p.lstrip("0") for p in text.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
     if kind == "card":
         digits = _digits(text)
         return 16 <= len(digits) <= 19 and luhn(digits)
@@ -285,7 +287,11 @@ def all_spans(tagger: Tagger, texts: list[str | None]) -> list[tuple[list, list]
     for text, tagged in zip(texts, _tagged(tagger, texts), strict=True):
         base = base_spans(text) if text else []
         more = [s for s in (_believable(text, *t) for t in tagged) if s]
-        more = [s for s in more if all(s[2] <= a or b <= s[1] for _, a, b in base)]
+        if base and more:
+            starts, ends = np.sort([a for _, a, _ in base]), np.sort([b for _, _, b in base])
+            # A span touches none if as many base spans end before it as begin before its end.
+            free = np.searchsorted(ends, [s[1] for s in more], "right") == np.searchsorted(starts, [s[2] for s in more], "left")
+            more = [s for s, good in zip(more, free.tolist(), strict=True) if good]
         out.append((base, sorted([*base, *more], key=lambda s: (KINDS.index(s[0]), s[1]))))
     return out
 

@@ -130,8 +130,9 @@ def choose(good: np.ndarray, bad: np.ndarray, risk: float, error: float) -> int:
 def cutoffs(labelled: DataFrame, stats: str, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """Cutoffs by stratum, as rows (stratum, one column a rule), from rows (stratum, quality, stats).
 
-    Documents that the base rules reject are no evidence. A stratum without
-    enough labelled documents to prove a cutoff has zeros, which reject nothing.
+    Documents that the base rules reject are no evidence, and rows must be
+    independent draws: one for each different text (``evidence``). A stratum
+    without enough of them to prove a cutoff has zeros, which reject nothing.
     """
     rules = measures(stats)
     rows = labelled.filter(~base_failed(stats) & F.col("quality").isin(0, 1))
@@ -151,6 +152,16 @@ def cutoffs(labelled: DataFrame, stats: str, risk: float = RISK, error: float =
     return stored(chosen.groupBy("stratum").pivot("rule", list(rules)).agg(F.max("cutoff")))
 
 
+def evidence(labelled: DataFrame, stats: str) -> DataFrame:
+    """Rows (stratum, quality, stats) of labelled documents (doc_id, text, stratum, quality, stats), one for each different text.
+
+    Repeated rows of a document and copies under several ids say nothing new;
+    the copies count as bad if any of them does.
+    """
+    one = labelled.groupBy("stratum", F.sha2(F.col("text").cast("string"), 256).alias("digest"))
+    return one.agg(F.min("quality").alias("quality"), F.min(stats).alias(stats)).drop("digest")
+
+
 def stratum(docs: DataFrame) -> Column:
     return F.coalesce(docs["lang"].cast("string"), F.lit(""))
 
@@ -158,15 +169,16 @@ def stratum(docs: DataFrame) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> tuple[DataFrame, str, str, str]:
     """Stored ``docs`` (doc_id, text, lang, ...) with stats, ``base_failed`` and ``kept``; and these columns' names.
 
-    Labels that disagree on a document count as bad; null labels and labels of
-    other documents are ignored. Null texts have no words; a null lang is a
-    stratum of its own. Repeated rows are judged alike.
+    Labels that disagree on a document or on copies of a text count as bad;
+    null labels and labels of other documents are ignored. A text is evidence
+    once, however many rows and ids it has. Null texts have no words; a null
+    lang is a stratum of its own. Repeated rows are judged alike.
     """
     stats, failed, kept = (free_name(docs, c) for c in ("text_stats", "base_failed", "kept"))
     rows = stored(with_stats(docs, stats))
     truth = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = rows.select("doc_id", stratum(rows).alias("stratum"), stats).join(truth, "doc_id")
-    limits = cutoffs(known, stats, risk, error)
+    known = rows.select("doc_id", "text", stratum(rows).alias("stratum"), stats).join(truth, "doc_id")
+    limits = cutoffs(evidence(known, stats), stats, risk, error)
     limit, mark = free_name(rows, "limits"), free_name(rows, "limit_stratum")
     limits = limits.select(
         F.col("stratum").alias(mark), F.struct(*[c for c in limits.columns if c != "stratum"]).alias(limit)

@@ -28,6 +28,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
+#: Packing alone has room for more words than beside the pipeline's other stages.
+KEPT_WORDS = 350_000
+
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
@@ -38,7 +41,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path(), kept=KEPT_WORDS)
 
 
 def op2_html(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from forecourt.llm.common import ascii_lower
 
 #: Kinds in the order of their rank at equal starts. The first three are the base kinds.
-KINDS = ("assign", "access", "hex", "github", "npm", "slack", "jwt", "pem")
+KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -22,9 +24,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_SLACK = re.compile(r"xox[abposr]-[0-9]{8,}-[0-9A-Za-z-]{16,}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END \1PRIVATE KEY-----")
+_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -50,8 +52,28 @@ def _checksum(m: re.Match) -> bool:
     return base62_crc(m[1]) == m[2]
 
 
-def _any(m: re.Match) -> bool:
-    return True
+def _header(m: re.Match) -> bool:
+    """The first part is a JSON object that names an algorithm."""
+    try:
+        found = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
+    except (ValueError, RecursionError):
+        return False
+    return isinstance(found, dict) and isinstance(found.get("alg"), str)
+
+
+def _sequence(m: re.Match) -> bool:
+    """The body is one ASN.1 sequence of the length that it embeds, or an OpenSSH key."""
+    try:
+        body = base64.b64decode("".join(m[2].split()), validate=True)
+    except ValueError:
+        return False
+    if body.startswith(b"openssh-key-v1\0"):
+        return True
+    if len(body) < 2 or body[0] != 0x30:
+        return False
+    wide = body[1] - 0x80 if body[1] > 0x80 else 0
+    size = int.from_bytes(body[2 : 2 + wide], "big") if wide else body[1]
+    return wide <= 8 and 2 + wide + size == len(body)
 
 
 #: Keyword (lower case): kind, pattern that must match where it stands, check.
@@ -60,9 +82,8 @@ _RULES = {
     "akia": ("access", _ACCESS, _long_key),
     **dict.fromkeys(("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("github", _GITHUB, _checksum)),
     "npm_": ("npm", _NPM, _checksum),
-    "xox": ("slack", _SLACK, _any),
-    "eyj": ("jwt", _JWT, _any),
-    "-----begin ": ("pem", _PEM, _any),
+    "eyj": ("jwt", _JWT, _header),
+    "-----begin ": ("pem", _PEM, _sequence),
 }
 
 _built: list = []
@@ -99,6 +120,9 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             done[kind] = m.end()
             if check(m):
                 found.append((start, m.end(), kind))
+        elif text.startswith("eyJ", start):
+            # Later starts in the same run of characters fail as well.
+            done[kind] = _JWT_RUN.match(text, start).end()
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     rank = KINDS.index
     return sorted(found, key=lambda s: (s[0], rank(s[2]), s[1]))

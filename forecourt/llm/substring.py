@@ -68,8 +68,8 @@ def rolling(values: np.ndarray, window: int) -> np.ndarray:
         part = values  # hashes of windows of ``width`` words
         while True:
             if window & width:
-                shift = np.uint64(pow(int(_BASE), done, 2**64))
-                out += part[done : done + n] * shift
+                factor = np.uint64(pow(int(_BASE), done, 2**64))
+                out += part[done : done + n] * factor
                 done += width
             if done == window:
                 break

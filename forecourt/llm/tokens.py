@@ -14,27 +14,33 @@ import numpy as np
 
 from forecourt.llm.common import words
 
-#: Words and word pieces a Python worker keeps; a store is emptied when full.
-KEPT_WORDS = 300_000
-KEPT_PIECES = 100_000
+#: Words, and as many word pieces, of which a Python worker keeps the ids; twice as many at most, some 150 bytes each.
+KEPT = 125_000
 
 # For these characters normal form is the identity and the classes of the splitting pattern are plain.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-_loaded: dict[str, Encoder] = {}
+_loaded: dict[tuple[str, int], Encoder] = {}
 
 
 class _Known(dict):
-    """Ids as little-endian 32-bit bytes by word; ``learn`` makes those that are missing."""
+    """Ids as little-endian 32-bit bytes by word; ``learn`` makes those that are missing.
+
+    A full store becomes the old one, from which words still in use come back.
+    """
 
     def __init__(self, learn: Callable[[str], bytes], most: int) -> None:
-        self.learn, self.most = learn, most
+        self.learn, self.most, self.old = learn, most, {}
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.learn(word)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self.learn(word)
+        self[word] = ids
         return ids
 
 
@@ -46,7 +52,7 @@ class Encoder:
     tokenizer. Both ways give the tokenizer's ids.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = KEPT) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -56,16 +62,20 @@ class Encoder:
         self.letters = {
             c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7
         }
-        self.words = _Known(self._word, KEPT_WORDS)
-        self.pieces = _Known(self._piece, KEPT_PIECES)
+        self.words = _Known(self._word, kept)
+        self.pieces = _Known(self._piece, kept)
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() else piece.translate(self.letters)
         return _packed(t.id for t in self.model.tokenize(spelled))
 
     def _word(self, word: str) -> bytes:
+        lower = word.lower()
+        # Most words are one piece; the alphabet's own methods are cheaper than patterns.
+        if lower.isascii() and lower.isalpha():
+            return self.pieces[lower]
         if _PLAIN.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(lower)))
         return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
@@ -76,8 +86,8 @@ def _packed(ids: Iterable[int]) -> bytes:
     return np.fromiter(ids, "<u4").tobytes()
 
 
-def encode(path: str, text: str) -> bytes:
+def encode(path: str, text: str, kept: int = KEPT) -> bytes:
     """Little-endian 32-bit ids of ``text``; the encoder is kept in the worker."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path].encode(text)
+    if (path, kept) not in _loaded:
+        _loaded[path, kept] = Encoder(path, kept)
+    return _loaded[path, kept].encode(text)

@@ -209,6 +209,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         "row",
         "gap",
         "size",
+        "value",
+        F.octet_length("head").alias("head_bytes"),
         _field("WARC-Type").alias("record_type"),
         _field("WARC-Target-URI").alias("url"),
         _field("X-Page-Id").try_cast("long").alias("page_id"),
@@ -218,8 +220,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         _field("Content-Length").try_cast("long").alias("stored_bytes"),
         F.when(whole, F.sha2(payload, 256)).alias("digest"),
     )
-    records = stored(true_records(stored(light)))
-    joined = _long_payloads(spark, path, stored(light.select("file", "block", "row", "gap")), records)
+    # One read: how Spark cuts files into tasks, and with it the numbers of rows, may change between two.
+    copy = f"{shared_folder(spark)}/warc-parts-{uuid.uuid4().hex}"
+    light.write.option("compression", "zstd").parquet(copy)
+    light = spark.read.schema(light.schema).parquet(copy)
+    records = stored(true_records(light.drop("value", "head_bytes")))
+    joined = _long_payloads(light, records)
     records = records.join(joined, ["file", "at"], "left")
     revisit = F.col("record_type") == "revisit"
     return records.select(
@@ -234,11 +240,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _long_payloads(spark: SparkSession, path: str, gaps: DataFrame, records: DataFrame) -> DataFrame:
-    """Digests of the records whose payload holds a magic: their parts are read again and joined in order."""
+def _long_payloads(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """Digests of the records whose payload holds a magic: their parts among the stored candidates, joined in order."""
     long = records.filter("size <> gap").select("file", "at", "size")
     # The parts of a record lie between its start and its end; each part belongs to one record.
-    parts = _offsets(gaps).select("file", "block", "row", F.col("at").alias("part_at"))
+    parts = _offsets(rows.select("file", "block", "row", "gap")).select("file", "block", "row", F.col("at").alias("part_at"))
     over = W.partitionBy("file").orderBy("part_at", "is_part")
     ends = long.select("file", F.col("at").alias("part_at"), "size", F.lit(0).alias("is_part"))
     marks = parts.join(long.select("file").distinct(), "file", "left_semi").select(
@@ -247,8 +253,7 @@ def _long_payloads(spark: SparkSession, path: str, gaps: DataFrame, records: Dat
     own = F.last(F.when(F.col("is_part") == 0, F.struct("part_at", "size")), ignorenulls=True).over(over)
     parts = marks.withColumn("own", own).filter("is_part = 1 and part_at < own.part_at + own.size")
     parts = stored(parts.select("file", "row", F.col("own.part_at").alias("at"), "part_at"))
-    text = candidates(spark, path).select("file", "row", "value", F.octet_length("head").alias("head_bytes"), "size")
-    pieces = parts.join(text, ["file", "row"])
+    pieces = parts.join(rows.select("file", "row", "value", "head_bytes", "size"), ["file", "row"])
     whole = pieces.groupBy("file", "at").agg(
         F.array_sort(F.collect_list(F.struct("part_at", "value", "head_bytes", "size"))).alias("p")
     )

@@ -65,6 +65,22 @@ def test_archive_chain_crosses_splits(spark):
     assert len(found) == 300
 
 
+def test_archive_read_does_not_depend_on_splits(spark):
+    rows = [(i, "u", f"{i} " + "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * (i % 4) + "z" * (i * 37 % 900)) for i in range(300)]
+    expected = {i: hashlib.sha256(h.encode()).hexdigest() for i, _, h in rows}
+    path, _ = archive(spark, rows)
+    old = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        for parts in ("2", "40"):
+            spark.conf.set("spark.sql.files.minPartitionNum", parts)
+            found = warc.read_archive(spark, path)
+            # The rows are made lazily: the last plan runs with other splits than the ones before.
+            spark.conf.set("spark.sql.files.minPartitionNum", "17")
+            assert {r.page_id: r.payload_digest for r in found.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.files.minPartitionNum", old) if old else spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_archive_empty(spark):
     assert archive(spark, [])[1] == []
 
