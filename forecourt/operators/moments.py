@@ -4,8 +4,8 @@ Dummy columns are never built. Rows are grouped by split, folds and levels;
 inside such a cell every dummy is constant, so the means and covariances of
 the numeric columns per cell carry everything the full matrix would. They come
 from plain sums of values and products, which partial aggregation combines
-before the shuffle. Values count from the columns' means, which a first
-aggregate finds, so that the sums keep their digits however large the values.
+before the shuffle. Values count from an origin inside the columns' ranges, the
+means of a few rows, so that the sums keep their digits however large the values.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forecourt.functions.columns import all_present, correlation
+from forecourt.functions.columns import all_present
 
 # Cells fetched to the driver, in total. Beyond it the matrix is too wide for
 # a driver-side solve and callers switch to Spark ML's distributed solver.
@@ -79,9 +79,14 @@ def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.filter(all_present(cols))
 
 
-def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    """Mean of each column as a double; 0 without rows or if it isn't finite."""
-    row = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+#: Rows whose means serve as origin. Any value inside a column's range will do, so no more are read.
+ORIGIN_ROWS = 100
+
+
+def origin(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Mean of each column over a few rows as a double; 0 without rows or if it isn't finite."""
+    few = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).limit(ORIGIN_ROWS)
+    row = few.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(cols))]).first()
     return {c: float(m) if m is not None and np.isfinite(m) else 0.0 for c, m in zip(cols, row, strict=True)}
 
 
@@ -101,7 +106,7 @@ def moment_cells(
     """
     cols = [*numerics, label]
     df = complete_cases(df, [*cols, *categoricals])
-    origins = column_means(df, cols) if origins is None else origins
+    origins = origin(df, cols) if origins is None else origins
     centred = [f"CAST(`{c}` AS double) - {origins.get(c, 0.0)!r}D AS x{i}" for i, c in enumerate(cols)]
     aggs = [F.count("*").alias("n")]
     for i in range(len(cols)):
@@ -125,13 +130,13 @@ def collect_moments(
     bases: dict[str, object] | None = None,
     origins: dict[str, float] | None = None,
 ) -> tuple[Design, dict[tuple, Moments]]:
-    """Moments per group, with the design they belong to. One job finds the means, one the cells.
+    """Moments per group, with the design they belong to. A few rows give the origin, one pass the cells.
 
     The base level of a categorical column defaults to its rarest level.
     """
     numerics, categoricals = tuple(numerics), list(categoricals)
     if origins is None:
-        origins = column_means(complete_cases(df, [*numerics, label, *categoricals]), [*numerics, label])
+        origins = origin(complete_cases(df, [*numerics, label, *categoricals]), [*numerics, label])
     cells = moment_cells(df, numerics, categoricals, label, groups, origins)
     rows = cells.limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
@@ -142,8 +147,8 @@ def collect_moments(
     by_group: dict[tuple, list] = {}
     for r in rows:
         by_group.setdefault(tuple(r[g] for g in groups), []).append(r)
-    origin = np.array([origins.get(c, 0.0) for c in (*numerics, label)])
-    return design, {g: _assemble(rs, design, origin) for g, rs in sorted(by_group.items())}
+    zero = np.array([origins.get(c, 0.0) for c in (*numerics, label)])
+    return design, {g: _assemble(rs, design, zero) for g, rs in sorted(by_group.items())}
 
 
 def _pair_of(row, categoricals) -> tuple[str, ...]:
@@ -205,33 +210,3 @@ def _assemble(rows, design: Design, origin: np.ndarray) -> Moments:
         mean[num] = centre[[pos[i] for i in num]] + origin
         cross[np.ix_(at, at)] = inner + (gap * n[:, None]).T @ gap
     return Moments(total, mean, cross)
-
-
-def correlation_matrix(
-    df: DataFrame,
-    numerics: Sequence[str],
-    categoricals: Sequence[str],
-    label: str,
-    bases: dict[str, object] | None = None,
-) -> DataFrame:
-    """Pearson r of every pair of columns, dummies included, as (i, j, r) rows.
-
-    Each pair uses the rows where both are present; a null level has zeros in
-    all its dummies. The base level defaults to the rarest one. One aggregate
-    finds all pairs.
-    """
-    columns = {c: F.col(f"`{c}`").cast("double") for c in numerics}
-    for c in categoricals:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        ranked = [r[c] for r in counts.orderBy(F.desc("n"), c).collect()]  # they become column names
-        base = (bases or {}).get(c, ranked[-1] if ranked else None)
-        for v in sorted(v for v in ranked if v != base):
-            columns[f"{c}_{v}"] = F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast("double")
-    columns[label] = F.col(f"`{label}`").cast("double")
-    names = list(columns)
-    rows = df.select(*[x.alias(f"x{k}") for k, x in enumerate(columns.values())])
-    pairs = [(a, b) for a in range(len(names)) for b in range(a, len(names))]
-    found = rows.agg(*[correlation(F.col(f"x{a}"), F.col(f"x{b}")).alias(f"r{a}_{b}") for a, b in pairs])
-    both = [(names[i], names[j], a, b) for a, b in pairs for i, j in {(a, b), (b, a)}]
-    out = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{a}_{b}").alias("r")) for i, j, a, b in both])
-    return found.select(F.explode(out).alias("p")).select("p.i", "p.j", "p.r").orderBy("i", "j")

@@ -116,20 +116,23 @@ def margin_from_nearest(
 ) -> DataFrame:
     """Fill unknown margins with that of the sold quote of nearest score.
 
-    Scores are whole dollars. Of sold quotes with one score the first key
-    lends; of two equally near scores the lower one does. The search runs over
-    distinct scores in blocks of 65,536, each block knowing the lenders next to
-    it, so no task sorts more than one block.
+    Scores are any numbers; null and NaN borrow nothing. Of sold quotes with
+    one score the first key lends; of two equally near scores the lower one
+    does. The distinct scores are dealt to tasks by ranges of about equal size,
+    and each range knows the lenders next to it.
     """
     em, s = F.col("expected_margin"), F.col(score)
+    scored = s.isNotNull() & ~F.isnan(s.cast("double"))
     lender = F.when(em != 0, F.struct(F.col(key), em))
-    scores = (
-        df.filter(s.isNotNull())
-        .groupBy(s.cast("int").alias("score"))
+    # Stored, as the number of a range is that of the task which holds it.
+    scores = stored(
+        df.filter(scored)
+        .groupBy(s.alias("score"))
         .agg(F.min(lender).alias("lender"))
+        .repartitionByRange("score")
         .select(
             "score",
-            F.shiftright("score", 16).alias("block"),
+            F.spark_partition_id().alias("block"),
             F.when(
                 F.col("lender").isNotNull(),
                 F.struct("score", F.col("lender.expected_margin").alias("margin")),
@@ -172,6 +175,6 @@ def margin_from_nearest(
         .otherwise(F.col("hi.margin"))
         .alias("_lent"),
     )
-    out = lookup_where(df, ~F.coalesce(em != 0, F.lit(False)) & s.isNotNull(), table, [score], "_lent")
+    out = lookup_where(df, ~F.coalesce(em != 0, F.lit(False)) & scored, table, [score], "_lent")
     filled = F.when(em != 0, em).otherwise(F.col("_lent")).alias("imputed_margin")
     return out.select(*df.columns, filled)

@@ -225,6 +225,20 @@ def _correlation_matrix() -> str:
     return f", w AS (SELECT {wide} FROM sold) {rows}"
 
 
+def _correlation_matrix_make() -> str:
+    """Correlations of the numerics, the label, and the dummies of region and make, from values in a list."""
+    cols = {**LOGGED, "expected_margin": "expected_margin"}
+    cols |= {f"region_short_code_{r}": e for r, e in zip(REGIONS, DUMMY.values())}
+    cols |= {f"make_Brand#{k}": f"CASE WHEN make = 'Brand#{k}' THEN 1 ELSE 0 END" for k in range(1, 26)}
+    values = ", ".join(f"CAST({e} AS DOUBLE)" for e in cols.values())
+    names = ", ".join(f"'{n}'" for n in cols)
+    return f""", w AS (SELECT [{values}] AS v, [{names}] AS name FROM sold),
+base AS (SELECT 'make_' || make AS b FROM sold GROUP BY make ORDER BY count(*), make DESC LIMIT 1),
+m AS (SELECT any_value(name[i]) AS i, any_value(name[j]) AS j, round({corr("v[i]", "v[j]")}, 6) AS r
+  FROM w, range(1, {len(cols) + 1}) a(i), range(1, {len(cols) + 1}) b(j) GROUP BY a.i, b.j)
+SELECT i, j, r FROM m, base WHERE i <> b AND j <> b"""
+
+
 METRICS = """count(*) AS num_inquiries, count(*) FILTER (expected_margin <> 0) AS num_sold,
   round(count(*) FILTER (expected_margin <> 0) / CAST(count(*) AS DOUBLE), 6) AS conversion_rate,
   round(avg(expected_margin) FILTER (expected_margin <> 0), 6) AS avg_margin,
@@ -371,6 +385,16 @@ def _clean_oracles() -> dict[str, str]:
         "SELECT 'zip_' || location_zip AS feature, count(*) AS n FROM sold GROUP BY location_zip "
         "QUALIFY row_number() OVER (ORDER BY count(*), location_zip DESC) > 1"
     )
+    key = "make || '_' || model"
+    dummies = "QUALIFY row_number() OVER (ORDER BY count(*), v DESC) > 1"
+    out["one_hot_make_model_totals"] = f"SELECT 'make_model_' || v AS feature, count(*) AS n FROM (SELECT {key} AS v FROM sold) GROUP BY v {dummies}"
+    for name, value, prefix in (("zip", "location_zip", "zip_"), ("make_model", key, "make_model_")):
+        r = corr("CASE WHEN s.v = l.v THEN 1.0e0 ELSE 0 END", "s.em")
+        out[f"correlation_with_margin_by_{name}"] = f""",
+s AS (SELECT {value} AS v, CAST(expected_margin AS DOUBLE) AS em FROM sold),
+l AS (SELECT v FROM s GROUP BY v {dummies})
+SELECT '{prefix}' || l.v AS feature, round({r}, 6) AS r FROM s, l GROUP BY l.v"""
+    out["correlation_matrix_make"] = _correlation_matrix_make()
     few = ", ".join(f"'Brand#{i}'" for i in (1, 2, 3, 5, 8, 13, 21))
     out["unseen_levels"] = (
         "SELECT 'make' AS feature, count(*) FILTER (make IS NULL) AS n_null, "

@@ -239,6 +239,13 @@ def linear_oracles(split: str, fold: str, inner: str) -> dict[str, str]:
         ols + " SELECT count(*) AS n, round(avg(prediction), 4) AS avg_prediction FROM predicted"
         " WHERE expected_margin = 0"
     )
+    out["margin_from_nearest_ols"] = ols + """,
+scored AS MATERIALIZED (SELECT quote_id, expected_margin, round(prediction, 4) AS s FROM predicted),
+lenders AS (SELECT s, arg_min(expected_margin, quote_id) AS m FROM scored WHERE expected_margin <> 0 GROUP BY s),
+below AS (SELECT c.*, d.s AS ls, d.m AS lm FROM scored c ASOF LEFT JOIN lenders d ON c.s >= d.s),
+around AS (SELECT c.*, d.s AS hs, d.m AS hm FROM below c ASOF LEFT JOIN lenders d ON c.s <= d.s)
+SELECT quote_id, CASE WHEN expected_margin <> 0 THEN expected_margin
+  WHEN ls IS NOT NULL AND (hs IS NULL OR s - ls <= hs - s) THEN lm ELSE hm END AS imputed_margin FROM around"""
     pmm = "power(CAST(expected_margin AS DOUBLE) - calculated_margin, 2)"
     out["model_comparison"] = ols + f"""
 SELECT 'pmm, ' || {split} AS model, count(*) AS n, round(sqrt(avg({pmm})), 4) AS rmse,

@@ -13,9 +13,9 @@ from forecourt.operators import cleaning as cl
 from forecourt.operators import cohorts as co
 from forecourt.operators import evaluation as ev
 from forecourt.operators import features as fe
+from forecourt.operators import levels as lv
 from forecourt.operators import linear as li
 from forecourt.operators import ml
-from forecourt.operators import moments as mo
 from forecourt.operators import pnl as pl
 from forecourt.operators import quality as qu
 from forecourt.operators.quantiles import box_stats
@@ -224,7 +224,7 @@ def _(df):
 
 @on_sold("correlation_matrix")
 def _(df):
-    return mo.correlation_matrix(
+    return lv.correlation_matrix(
         fe.feature_set(df, "segment"),
         NUMERIC_FEATURES,
         ["region_short_code"],
@@ -306,11 +306,30 @@ def _(df):
 @on_sold("one_hot_zip_totals")
 def _(df):
     """Rows of each dummy; there are as many as zip codes, less the rarest."""
-    wide = fe.one_hot(df.select("location_zip"), "location_zip", prefix="zip_")
-    dummies = [c for c in wide.columns if c.startswith("zip_")]
-    totals = wide.agg(*[F.sum(c).cast("bigint").alias(c) for c in dummies])
-    return totals.select(F.posexplode(F.array(*dummies)).alias("position", "n")).select(
-        F.element_at(F.array(*map(F.lit, dummies)), F.col("position") + 1).alias("feature"), "n"
+    return lv.dummy_totals(df, "location_zip", "zip_")
+
+
+@on_sold("one_hot_make_model_totals")
+def _(df):
+    return lv.dummy_totals(df.withColumn("make_model", agg.make_model_key()), "make_model")
+
+
+@on_sold("correlation_with_margin_by_zip")
+def _(df):
+    return lv.correlation_with_levels(df, "expected_margin", "location_zip", "zip_")
+
+
+@on_sold("correlation_with_margin_by_make_model")
+def _(df):
+    keyed = df.withColumn("make_model", agg.make_model_key())
+    return lv.correlation_with_levels(keyed, "expected_margin", "make_model")
+
+
+@on_sold("correlation_matrix_make")
+def _(df):
+    """Dummies of two columns beside the numerics."""
+    return lv.correlation_matrix(
+        fe.feature_set(df, "make"), NUMERIC_FEATURES, ["region_short_code", "make"], "expected_margin", {"region_short_code": REGION_BASE}
     )
 
 
@@ -400,6 +419,15 @@ def _(df):
     return li.report([li.ols(data), _ridge_by_folds(data), li.lasso_cv(data)])
 
 
+@on_clean("margin_from_nearest_ols")
+def _(df):
+    """Scores are predictions: about as many values as quotes."""
+    model = li.ols(_linear_data(cl.sold(df)))
+    quotes = fe.feature_set(df, "segment", key="quote_id")
+    scored = model.transform(quotes, "score").withColumn("score", F.round("score", 4))
+    return qu.margin_from_nearest(scored, "score").select("quote_id", "imputed_margin")
+
+
 def _predictions(df: DataFrame, fit: Callable[[li.LinearData], li.LinearModel]) -> DataFrame:
     data = _linear_data(df)
     return fit(data).transform(data.frame)

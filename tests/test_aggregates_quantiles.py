@@ -145,6 +145,23 @@ def test_nan_is_no_value(spark):
     assert (row.total, row.low, row.mid) == (3, 1.0, 3.0)
 
 
+@pytest.mark.parametrize("blocks", [1, 7, 256])
+def test_loess_by_blocks_matches_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(sm, "BLOCKS", blocks)
+    draw = np.random.default_rng(blocks)
+    x = np.concatenate([draw.normal(size=1500) * 40, np.repeat([3.5, 90.25], 200)])
+    y = np.sin(x / 20) * 100 + x + draw.normal(size=len(x))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+    got = [r.smoothed for r in sm.loess(df, "x", "y", 0.3, 25).collect()]
+    assert got == pytest.approx(brute_loess(x, y, 0.3, 25), abs=1e-4)
+
+
+def test_loess_of_none_and_of_one_place(spark):
+    df = spark.createDataFrame([(2.0, 1.0), (2.0, 4.0)], "x double, y double")
+    assert {r.smoothed for r in sm.loess(df, "x", "y", grid=3).collect()} == {2.5}
+    assert sm.loess(df.limit(0), "x", "y").collect() == []
+
+
 def test_loess_over_steps_equals_loess_over_their_middles(spark):
     rows = [(i / 97, float(i % 13)) for i in range(300)]
     df = spark.createDataFrame(rows, "x double, y double")

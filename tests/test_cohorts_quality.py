@@ -100,6 +100,13 @@ def test_nearest_margin_matches_brute_force(spark, seed):
         assert got[k] == want
 
 
+def test_nearest_margin_of_fractions(spark):
+    rows = [(1, 0.25, 100), (2, 0.75, 0), (3, 0.9, 300), (4, 0.5, 0), (5, None, 0), (6, float("nan"), 0), (7, -1e300, 0), (8, 0.25, 70)]
+    df = spark.createDataFrame(rows, "quote_id long, calculated_margin double, expected_margin int")
+    got = {r.quote_id: r.imputed_margin for r in qu.margin_from_nearest(df).collect()}
+    assert got == {1: 100, 2: 300, 3: 300, 4: 100, 5: None, 6: None, 7: 100, 8: 70}
+
+
 def test_nearest_margin_without_any_sale(spark):
     df = spark.createDataFrame([(1, 5, 0)], "quote_id long, calculated_margin int, expected_margin int")
     assert qu.margin_from_nearest(df).first().imputed_margin is None

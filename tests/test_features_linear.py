@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from forecourt.operators import cleaning as cl
 from forecourt.operators import features as fe
+from forecourt.operators import levels as lv
 from forecourt.operators import linear as li
 from forecourt.operators import moments as mo
 from forecourt.operators import pnl as pl
@@ -215,7 +216,7 @@ def test_coefficients_are_sorted_with_the_intercept_last(data):
 
 
 def test_correlation_matrix_is_symmetric(sold):
-    rows = mo.correlation_matrix(fe.feature_set(sold, "segment"), NUMERIC_FEATURES, CATS, LABEL).collect()
+    rows = lv.correlation_matrix(fe.feature_set(sold, "segment"), NUMERIC_FEATURES, CATS, LABEL).collect()
     r = {(x.i, x.j): x.r for x in rows}
     assert all(r[i, j] == pytest.approx(r[j, i]) for i, j in r)
     assert r["year", "year"] == pytest.approx(1.0)
@@ -234,6 +235,6 @@ def test_correlation_matrix_is_pairwise(spark):
 
     rows = [(1.0, None, 2.0), (2.0, 1.0, 1.0), (3.0, 5.0, 4.0), (4.0, None, 3.0), (5.0, 2.0, 9.0)]
     frame = spark.createDataFrame(rows, "a double, b double, y double")
-    matrix = {(r.i, r.j): r.r for r in mo.correlation_matrix(frame, ["a", "b"], [], "y").collect()}
+    matrix = {(r.i, r.j): r.r for r in lv.correlation_matrix(frame, ["a", "b"], [], "y").collect()}
     with_y = {r.feature: r.r for r in correlation_with(frame, "y", ["a", "b"]).collect()}
     assert matrix["a", "y"] == pytest.approx(with_y["a"]) and matrix["b", "y"] == pytest.approx(with_y["b"])
