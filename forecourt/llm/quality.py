@@ -153,12 +153,12 @@ def cutoffs(labelled: DataFrame, stats: str, risk: float = RISK, error: float =
 
 
 def evidence(labelled: DataFrame, stats: str) -> DataFrame:
-    """Rows (stratum, quality, stats) of labelled documents (doc_id, text, stratum, quality, stats), one for each different text.
+    """Rows (stratum, quality, stats) of labelled documents (digest of the text, stratum, quality, stats), one for each different text.
 
     Repeated rows of a document and copies under several ids say nothing new;
     the copies count as bad if any of them does.
     """
-    one = labelled.groupBy("stratum", F.sha2(F.col("text").cast("string"), 256).alias("digest"))
+    one = labelled.groupBy("stratum", "digest")
     return one.agg(F.min("quality").alias("quality"), F.min(stats).alias(stats)).drop("digest")
 
 
@@ -177,7 +177,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
     stats, failed, kept = (free_name(docs, c) for c in ("text_stats", "base_failed", "kept"))
     rows = stored(with_stats(docs, stats))
     truth = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = rows.select("doc_id", "text", stratum(rows).alias("stratum"), stats).join(truth, "doc_id")
+    digest = F.sha2(F.col("text").cast("string"), 256).alias("digest")
+    known = rows.select("doc_id", digest, stratum(rows).alias("stratum"), stats).join(truth, "doc_id")
     limits = cutoffs(evidence(known, stats), stats, risk, error)
     limit, mark = free_name(rows, "limits"), free_name(rows, "limit_stratum")
     limits = limits.select(

@@ -29,7 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 #: Packing alone has room for more words than beside the pipeline's other stages.
-KEPT_WORDS = 350_000
+KEPT_WORDS = 200_000
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 

@@ -71,6 +71,8 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         lower = word.lower()
+        if lower == word:
+            lower = word  # both stores then hold one text
         # Most words are one piece; the alphabet's own methods are cheaper than patterns.
         if lower.isascii() and lower.isalpha():
             return self.pieces[lower]

@@ -222,7 +222,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
     # One read: how Spark cuts files into tasks, and with it the numbers of rows, may change between two.
     copy = f"{shared_folder(spark)}/warc-parts-{uuid.uuid4().hex}"
-    light.write.option("compression", "zstd").parquet(copy)
+    light.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 9).parquet(copy)
     light = spark.read.schema(light.schema).parquet(copy)
     records = stored(true_records(light.drop("value", "head_bytes")))
     joined = _long_payloads(light, records)
