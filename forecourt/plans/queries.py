@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from forecourt.operators import aggregates as agg
 from forecourt.operators import cleaning as cl
 from forecourt.operators import cohorts as co
+from forecourt.operators import components as pc
 from forecourt.operators import evaluation as ev
 from forecourt.operators import features as fe
 from forecourt.operators import levels as lv
@@ -18,6 +19,7 @@ from forecourt.operators import linear as li
 from forecourt.operators import ml
 from forecourt.operators import pnl as pl
 from forecourt.operators import quality as qu
+from forecourt.operators import wide as wi
 from forecourt.operators.quantiles import box_stats
 from forecourt.plans.charts import CHARTS
 from forecourt.schema import NUMERIC_FEATURES
@@ -123,7 +125,8 @@ def _(df):
 @on_clean("materialized_pnl")
 def _(df):
     folder = src.shared_folder(df.sparkSession)
-    return pl.pnl(src.materialize(df, "forecourt_materialized_quotes", folder))
+    session = "".join(c if c.isalnum() else "_" for c in df.sparkSession.sparkContext.applicationId)
+    return pl.pnl(src.materialize(df, f"forecourt_quotes_{session}", folder))
 
 
 # Cleaning
@@ -419,6 +422,25 @@ def _(df):
     return li.report([li.ols(data), _ridge_by_folds(data), li.lasso_cv(data)])
 
 
+def _wide_data(df: DataFrame) -> wi.WideData:
+    factors = ["region_short_code", "model", "location_zip"]
+    frame = fe.log10_features(df).select("quote_id", *factors, *NUMERIC_FEATURES, "expected_margin")
+    return wi.wide_data(frame, NUMERIC_FEATURES, factors, "expected_margin", bases={"region_short_code": REGION_BASE})
+
+
+@on_sold("elastic_net_wide_coefficients", 4)
+def _(df):
+    """Region, model and zip code beside the numerics, with a penalty given beforehand."""
+    data = _wide_data(df)
+    fits = wi.fit(data, [wi.Task("train", li.net_penalty(0.5, 0.9))])
+    return wi.WideModel("elastic_net", 0.5, 0.9, fits).coefficients()
+
+
+@on_sold("lasso_wide_report", 4)
+def _(df):
+    return wi.report([wi.lasso(_wide_data(df))])
+
+
 @on_clean("margin_from_nearest_ols")
 def _(df):
     """Scores are predictions: about as many values as quotes."""
@@ -642,6 +664,25 @@ def _(df):
     return ml.cluster_profile(ml.cluster(src.stored(_ml_frame(df)), NUMS, 3, "gaussian"), NUMS)
 
 
+@on_sold("pca_projection", 4)
+def _(df):
+    """Power sums of the components' variances, taken from projected rows, and their largest covariance (power 0)."""
+    rows = src.stored(_ml_frame(df))
+    found = pc.principal_components(rows, NUMS).project(rows)
+    names = [f"pc{i + 1}" for i in range(len(NUMS))]
+    pairs = [F.abs(F.covar_pop(a, b)) for i, a in enumerate(names) for b in names[:i]]
+    sums = [F.greatest(*pairs)] + [sum((F.var_pop(n) ** m for n in names), F.lit(0.0)) for m in range(1, len(names) + 1)]
+    return found.agg(F.array(*sums).alias("s")).select(F.posexplode("s").alias("power", "total"))
+
+
+@on_sold("kmeans_settled")
+def _(df):
+    """No row is nearer to another centre, and each centre is the mean of its rows."""
+    rows = src.stored(_ml_frame(df))
+    found = pc.k_means(rows, NUMS)
+    return found.settled(found.assign(rows))
+
+
 # Scores and diagnostics
 
 

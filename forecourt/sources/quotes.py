@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,16 +83,46 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/forecourt-copies"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of the driver's machine")
+    return warehouse + "/forecourt-copies"
 
 
 def _fresh(folder: str) -> str:
     return os.path.join(folder, f"forecourt-{uuid.uuid4().hex}")
 
 
+# Paths of the copies that this process made, by application.
+_COPIES: dict[str, list[str]] = {}
+
+
+def remove_copies(spark: SparkSession, made_before: int = 0) -> None:
+    """Delete the copies that ``store`` made in this session, but for the first ``made_before``.
+
+    Frames that still read them fail afterwards.
+    """
+    made = _COPIES.get(spark.sparkContext.applicationId, [])
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    while len(made) > made_before:
+        path = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
+        path.getFileSystem(settings).delete(path, True)
+
+
+@contextmanager
+def scoped_copies(spark: SparkSession) -> Iterator[None]:
+    """Copies made inside are removed at the end; results must be written or fetched before."""
+    before = len(_COPIES.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        remove_copies(spark, before)
+
+
 def store(df: DataFrame, folder: str | None = None, fmt: str = "parquet") -> str:
     """Write ``df`` under a fresh path of the shared folder and return the path."""
     path = _fresh(folder or shared_folder(df.sparkSession))
+    _COPIES.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     writer = df.write.format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)

@@ -10,6 +10,7 @@ from forecourt.operators import levels as lv
 from forecourt.operators import linear as li
 from forecourt.operators import moments as mo
 from forecourt.operators import pnl as pl
+from forecourt.operators import wide as wi
 from forecourt.schema import NUMERIC_FEATURES
 from forecourt.sources.quotes import stored
 
@@ -238,3 +239,44 @@ def test_correlation_matrix_is_pairwise(spark):
     matrix = {(r.i, r.j): r.r for r in lv.correlation_matrix(frame, ["a", "b"], [], "y").collect()}
     with_y = {r.feature: r.r for r in correlation_with(frame, "y", ["a", "b"]).collect()}
     assert matrix["a", "y"] == pytest.approx(with_y["a"]) and matrix["b", "y"] == pytest.approx(with_y["b"])
+
+
+def _wide_rows(spark, n):
+    draw = np.random.default_rng(7)
+    rows = []
+    for k in range(n):
+        a, b, x = int(draw.integers(0, 4)), int(draw.integers(0, 9)), float(draw.normal())
+        rows.append((7_919_003 * k, f"a{a}", b, x, 3.0 * x + 2.0 * a + (b == 3) * 5.0 + float(draw.normal())))
+    return spark.createDataFrame(rows, "quote_id long, a string, b int, x double, y double")
+
+
+def test_wide_fits_equal_dense_ones(spark):
+    frame, factors = _wide_rows(spark, 400), ["a", "b"]
+    dense, wide = li.linear_data(frame, ["x"], factors, "y"), wi.wide_data(frame, ["x"], factors, "y")
+    cases = [("train", li.net_penalty(0.05, 1.0), "test"), ("-1", li.net_penalty(0.1, 0.7), "1"), ("train", li.ridge_penalty(3, 280), "train")]
+    fits = wi.fit(wide, [wi.Task(s, p) for s, p, _ in cases])
+    found = wi.errors(fits, [e for _, _, e in cases])
+    rows = {
+        "train": dense.rows("train"), "test": dense.rows("test"),
+        "-1": dense.rows("train", lambda o, i: o != 1), "1": dense.rows("train", lambda o, i: o == 1),
+    }
+    weights = {(r.task, r.b, r.l): r.w for r in fits.weights.collect()}
+    for k, (s, p, e) in enumerate(cases):
+        best = li.solve(rows[s], p)
+        mine = [*fits.slopes[k], *[weights.get((k, factors.index(c), str(v)), 0.0) for c, v in dense.design.dummies]]
+        assert mine == pytest.approx(best.weights.tolist(), abs=1e-6)
+        assert fits.intercepts[k] == pytest.approx(best.intercept)
+        assert found[k] == pytest.approx((best.mse(rows[e]), best.r2(rows[e])))
+    model = wi.WideModel("lasso", 0.05, 1.0, wi.Fits(wide, fits.tasks[:1], fits.weights.filter("task = 0"), fits.slopes, fits.intercepts))
+    scored = model.transform(frame.filter(fe.split_name() == "test"))
+    assert scored.agg(F.avg((F.col("prediction") - F.col("y")) ** 2)).first()[0] == pytest.approx(found[0][0])
+    assert model.coefficients().count() == 1 + 3 + 8 + 1
+
+
+def test_wide_search_finds_the_dense_winner(spark):
+    frame = _wide_rows(spark, 200)
+    dense = li.lasso_cv(li.linear_data(frame, ["x"], ["a", "b"], "y"), (0.01, 0.1, 1.0))
+    wide = wi.lasso(wi.wide_data(frame, ["x"], ["a", "b"], "y"), (0.01, 0.1, 1.0))
+    assert wide.alpha == pytest.approx(dense.alpha)
+    report = wi.report([wide]).first()
+    assert (report.train_rmse, report.holdout_rmse) == pytest.approx((dense.train_rmse(), dense.holdout_rmse()))

@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from forecourt.operators import cleaning as cl
+from forecourt.operators import components as pc
 from forecourt.operators import evaluation as ev
 from forecourt.operators import features as fe
 from forecourt.operators import linear as li
@@ -156,3 +158,31 @@ def test_predictions_of_one_frame_are_compared_in_one_pass(spark):
     df = spark.createDataFrame(rows, "part string, label double, p double, q double")
     got = {r.model: (r.n, r.rmse) for r in ev.compare_by(df, "part", "label", {"p": "p", "q": "q"}).collect()}
     assert got == {"p, a": (2, 0.0), "q, a": (2, 1.0), "p, b": (1, 1.0), "q, b": (1, 0.0)}
+
+
+def test_components_are_orthogonal_and_project_the_variance(spark):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(300, 3)) @ np.array([[2.0, 1.0, 0.0], [0.0, 1.0, 0.5], [0.0, 0.0, 0.1]])
+    rows = [(*map(float, r), 5.0) for r in x] + [(None, 1.0, 1.0, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    found = pc.principal_components(df, ["a", "b", "c", "d"])  # d is constant
+    values = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1]
+    assert found.variance.tolist() == pytest.approx([*values, 0.0], abs=1e-9)
+    assert np.allclose(found.directions @ found.directions.T, np.eye(4))
+    projected = found.project(df, 2).select("pc1", "pc2").collect()
+    assert projected[-1] == (None, None)
+    assert np.var([r.pc1 for r in projected[:-1]]) == pytest.approx(values[0])
+    assert sum(r.variance_share for r in found.shares(df).collect()) == pytest.approx(1.0)
+
+
+def test_clusters_settle_and_a_wrong_assignment_shows(spark):
+    draw = np.random.default_rng(4)
+    points = np.concatenate([draw.normal(size=(60, 2)) + c for c in ((0, 0), (9, 0), (0, 9))])
+    df = spark.createDataFrame([tuple(map(float, p)) for p in points], "x double, y double")
+    found = pc.k_means(df, ["x", "y"], 3)
+    assigned = found.assign(df)
+    assert tuple(found.settled(assigned).first()) == (180, 3, 0, 0)
+    wrong = assigned.withColumn("cluster", (F.col("cluster") + 1) % 3)
+    assert found.settled(wrong).first().n_astray == 180
+    dealt = assigned.withColumn("cluster", F.when(F.col("x") > 9, 0).otherwise(F.col("cluster")))
+    assert found.settled(dealt).first().n_off_centre > 0

@@ -156,3 +156,13 @@ def test_query_equals_its_sql(spark, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 1
+
+
+def test_scoped_copies_are_removed(spark, tmp_path):
+    with src.scoped_copies(spark):
+        kept = src.store(spark.range(3), str(tmp_path))
+        with src.scoped_copies(spark):
+            inner = src.stored(spark.range(5), str(tmp_path))
+            assert inner.count() == 5 and len(os.listdir(tmp_path)) == 2
+        assert os.listdir(tmp_path) == [os.path.basename(kept)]
+    assert os.listdir(tmp_path) == []
