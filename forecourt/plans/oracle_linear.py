@@ -173,6 +173,39 @@ def _fit_sql(kind: str, sweeps: int = 60) -> str:
     )
 
 
+def _leave_one_out(sweeps: int = 60) -> str:
+    """Ridge whose coarse search takes each train row's error without itself: residual over one less its leverage.
+
+    The inverse of each penalised matrix comes from Gauss-Jordan steps on the matrix beside the unit matrix.
+    """
+    wide = f"range(1, {2 * P + 1})"
+    rows = f"range(1, {P + 1})"
+    refine = _values(REFINE_ALPHA)
+    fine = f"SELECT DISTINCT s.scope, c.ratio, c.alpha * m AS alpha FROM scope s, coarse c, {refine} v(m)"
+    return f""",
+normal AS (SELECT list(xx ORDER BY j) AS xx, list(xy ORDER BY j) AS xy FROM line WHERE sid = 'train'),
+steps AS (
+  SELECT a AS alpha, 1 AS turn, n, xy, xm, ym,
+    [list_concat([xx[k][c] * n + CASE WHEN k = c THEN a ELSE 0 END for c in {rows}],
+      [CASE WHEN k = c THEN 1.0e0 ELSE 0.0e0 END for c in {rows}]) for k in {rows}] AS m
+  FROM normal, (SELECT * FROM tot WHERE sid = 'train') t, {_values(RIDGE_ALPHAS)} v(a)
+  UNION ALL
+  SELECT alpha, turn + 1, n, xy, xm, ym,
+    [[CASE WHEN k = turn THEN m[turn][c] / m[turn][turn] ELSE m[k][c] - m[k][turn] / m[turn][turn] * m[turn][c] END for c in {wide}] for k in {rows}]
+  FROM steps WHERE turn <= {P}),
+inverses AS (SELECT alpha, n, xm, ym, [m[k][{P + 1}:{2 * P}] for k in {rows}] AS inv,
+    [list_dot_product(m[k][{P + 1}:{2 * P}], xy) * n for k in {rows}] AS w
+  FROM steps WHERE turn = {P + 1}),
+centred AS (SELECT alpha, n, inv, w, v[{P + 2}] - i.ym AS y, [v[k + 1] - xm[k] for k in {rows}] AS x
+  FROM z, inverses i WHERE split = 'train'),
+losses AS (SELECT alpha, avg(power((y - list_dot_product(w, x))
+    / (1 - 1 / n - list_dot_product(x, [list_dot_product(inv[k], x) for k in {rows}])), 2)) AS loss
+  FROM centred GROUP BY alpha),
+coarse AS MATERIALIZED (SELECT 'train' AS scope, CAST(NULL AS DOUBLE) AS ratio, arg_min(alpha, loss) AS alpha FROM losses)""" + (
+        _search("fine", "ridge", fine, "true", "1 - r2", sweeps) + _final("ridge", "SELECT * FROM fine", sweeps)
+    )
+
+
 def _report(kind: str) -> str:
     ratio = "CAST(1 AS DOUBLE)" if kind == "lasso" else "w.ratio"
     cv = "(SELECT round(avg(sqrt(greatest(mse, 0))), 4) FROM err WHERE starts_with(scope, '{}/'))"
@@ -257,6 +290,7 @@ def linear_oracles(split: str, fold: str, inner: str) -> dict[str, str]:
         fitted = data + _fit_sql(kind)
         out[f"{kind}_report"] = fitted + _report(kind)
         out[f"{kind}_coefficients"] = fitted + COEFFICIENTS
+    out["ridge_leave_one_out_report"] = data + _leave_one_out() + _report("ridge")
     segment = "make = 'Brand#8' AND model = 'PROMO'"
     # A single make and model leaves test folds without a unique fit, so that
     # report has no SQL; this one is of a whole make.
@@ -302,6 +336,26 @@ UNION ALL {_scores('ols')}"""
         " expected_margin - prediction AS r FROM predicted"
         " WHERE expected_margin <> 0 AND split = 'train')"
     )
+    out["linear_ml_summary"] = raw + """ SELECT 'rmse' AS metric, CAST(0 AS INT) AS step, round(sqrt(mse), 4) AS value
+FROM err WHERE scope = 'train' AND ev = 'train'
+UNION ALL SELECT 'r2', 0, round(r2, 4) FROM err WHERE scope = 'train' AND ev = 'train'
+UNION ALL SELECT 'iterations', 0, 0.0e0 UNION ALL SELECT 'objective', 0, 0.0e0"""
+    # The encoder drops the rarest level of the train rows; numerics are scaled by the sample deviation, not centred.
+    numerics = " UNION ALL ".join(
+        f"SELECT '{c}', w[{k}] * sqrt(n / (n - 1)) FROM fit, tot WHERE sid = 'train'" for k, c in enumerate(NAMES[:4], 1)
+    )
+    centres = " + ".join(f"w[{k}] * m{k + 1} / s{k + 1}" for k in range(1, 5))
+    out["linear_ml_coefficients"] = raw + f""",
+fit AS (SELECT w, b FROM fin WHERE scope = 'train'),
+effect AS (SELECT unnest({[*REGIONS, "us/mid"]}) AS r, unnest([w[5], w[6], w[7], w[8], 0.0e0]) AS c FROM fit),
+ranked AS (SELECT region_short_code AS r, row_number() OVER (ORDER BY count(*), region_short_code DESC) AS k
+  FROM sold WHERE {split} = 'train' GROUP BY 1),
+dropped AS (SELECT c FROM effect JOIN ranked USING (r) WHERE k = 1),
+named(feature, value) AS (
+  SELECT 'cat_features_region_short_code_OHE_' || r, e.c - d.c FROM effect e JOIN ranked USING (r), dropped d WHERE k > 1
+  UNION ALL {numerics})
+SELECT CAST(row_number() OVER (ORDER BY value, feature) - 1 AS INT) AS position, feature, round(value, 4) AS coefficient FROM named
+UNION ALL SELECT CAST({P} AS INT), '(intercept)', round(b + ym - ({centres}) + d.c, 0) FROM fit, st, dropped d"""
     one = (
         _data(split, fold, inner, logs=False, where=segment) + _fit_sql("ols", 400) + PREDICTED
     )

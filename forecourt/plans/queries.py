@@ -252,6 +252,19 @@ def _(df):
     return box_stats(df, "make", "percent_to_market")
 
 
+@on_clean("margin_box_by_make_sketched")
+def _(df):
+    """Whether sketched quartiles hold their ranks to one in a hundred, by make."""
+    sketched = box_stats(df, "make", "calculated_margin", approx=100).alias("b")
+    rows = df.filter("calculated_margin is not null").select("make", "calculated_margin").alias("r")
+    v, errors = F.col("r.calculated_margin"), []
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        below, upto = (F.count(F.when(c, 1)) / F.count("*") for c in (v < F.col(f"b.{name}"), v <= F.col(f"b.{name}")))
+        errors.append(F.greatest(below - p, p - upto))
+    found = rows.join(sketched, F.col("r.make") == F.col("b.make")).groupBy("r.make", "b.n")
+    return found.agg(F.greatest(*errors).alias("error")).select("make", "n", (F.col("error") <= 0.01).alias("within"))
+
+
 @on_clean("profit_box_by_region")
 def _(df):
     """Quartiles of a column too wide for 32 bits."""
@@ -549,7 +562,10 @@ def _(df):
 @on_sold("linear_ml_coefficients", 4)
 def _(df):
     train, _ = _train_test(df)
-    return ml.coefficients(ml.lr_pipeline(CATS, NUMS).fit(train), train, NUMS)
+    found = ml.coefficients(ml.lr_pipeline(CATS, NUMS).fit(train), train, NUMS)
+    # The years are not centred, so the intercept is a small difference of large numbers: whole dollars.
+    whole = F.when(F.col("feature") == "(intercept)", F.round("coefficient")).otherwise(F.col("coefficient"))
+    return found.withColumn("coefficient", whole)
 
 
 @on_sold("linear_ml_residuals", 4)

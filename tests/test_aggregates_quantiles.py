@@ -168,3 +168,19 @@ def test_loess_over_steps_equals_loess_over_their_middles(spark):
     middles = spark.createDataFrame([((int(x // 0.5) + 0.5) * 0.5, y) for x, y in rows], "x double, y double")
     got = [r.smoothed for r in sm.loess(df, "x", "y", grid=10, x_step=0.5).collect()]
     assert got == pytest.approx([r.smoothed for r in sm.loess(middles, "x", "y", grid=10).collect()])
+
+
+def test_sketched_boxes_stay_near_the_exact_ones(spark):
+    draw = random.Random(5)
+    rows = [("a", draw.gauss(0, 1)) for _ in range(4000)] + [("b", 2.0), ("b", float("nan")), ("b", None), (None, 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    exact = {r.g: r for r in qn.box_stats(df, "g", "v").collect()}
+    sketched = {r.g: r for r in qn.box_stats(df, "g", "v", approx=200).collect()}
+    values = sorted(v for g, v in rows if g == "a")
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        assert abs(sum(v <= sketched["a"][name] for v in values) / 4000 - p) < 0.01
+    assert sketched["a"].n == exact["a"].n == 4000 and sketched["b"] == exact["b"] and sketched[None] == exact[None]
+    fences = [sketched["a"][q] for q in ("q1", "q3")]
+    reach = 1.5 * (fences[1] - fences[0])
+    inside = [v for v in values if fences[0] - reach <= v <= fences[1] + reach]
+    assert (sketched["a"].whisker_low, sketched["a"].whisker_high, sketched["a"].n_outliers) == (inside[0], inside[-1], 4000 - len(inside))
