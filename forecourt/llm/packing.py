@@ -44,7 +44,7 @@ OWN_QUEUE = 4096
 CUT_TOKENS = 1 << 18
 
 #: Documents, and bytes of their ids, that a task cuts together.
-CUT_ROWS, CUT_BYTES = 4096, 1 << 25
+CUT_ROWS, CUT_BYTES = 1000, 1 << 22
 
 #: Parts whose running totals one task adds up.
 PART_BLOCK = 256
