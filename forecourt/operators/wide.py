@@ -302,7 +302,7 @@ def errors(fits: Fits, rows: Sequence[str]) -> list[tuple[float, float | None]]:
         bias = m.mean[-1] - fits.intercepts[i] - beta @ m.mean[:-1] - total[0] / m.n
         sse = yy - 2 * beta @ xy - 2 * total[2] + beta @ xx @ beta + 2 * beta @ total[3:] + spread + m.n * bias**2
         sse = max(float(sse), 0.0)
-        out.append((sse / m.n, 1 - sse / yy if yy > 0 else None))
+        out.append((sse / m.n, 1 - sse / float(yy) if yy > 0 else None))
     return out
 
 

@@ -449,11 +449,6 @@ def _(df):
     return wi.WideModel("elastic_net", 0.5, 0.9, fits).coefficients()
 
 
-@on_sold("lasso_wide_report", 4)
-def _(df):
-    return wi.report([wi.lasso(_wide_data(df))])
-
-
 @on_clean("margin_from_nearest_ols")
 def _(df):
     """Scores are predictions: about as many values as quotes."""

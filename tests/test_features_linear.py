@@ -275,8 +275,16 @@ def test_wide_fits_equal_dense_ones(spark):
 
 def test_wide_search_finds_the_dense_winner(spark):
     frame = _wide_rows(spark, 200)
-    dense = li.lasso_cv(li.linear_data(frame, ["x"], ["a", "b"], "y"), (0.01, 0.1, 1.0))
-    wide = wi.lasso(wi.wide_data(frame, ["x"], ["a", "b"], "y"), (0.01, 0.1, 1.0))
-    assert wide.alpha == pytest.approx(dense.alpha)
-    report = wi.report([wide]).first()
-    assert (report.train_rmse, report.holdout_rmse) == pytest.approx((dense.train_rmse(), dense.holdout_rmse()))
+    dense, wide = li.linear_data(frame, ["x"], ["a", "b"], "y"), wi.wide_data(frame, ["x"], ["a", "b"], "y")
+    grid = [1.0, 0.1]
+
+    def penalty(a, _n):
+        return li.net_penalty(a, 1.0)
+
+    losses = li.grid_scores(dense.fold_parts("train"), grid, penalty)
+    alpha = wi._search(wide, grid, penalty)
+    assert alpha == grid[int(np.argmin(losses))]
+    report = wi.report([wi._winner("lasso", wide, alpha, 1.0, penalty(alpha, 0))]).first()
+    best = li.solve(dense.rows("train"), penalty(alpha, 0))
+    assert (report.train_rmse, report.holdout_rmse) == pytest.approx((best.rmse(dense.rows("train")), best.rmse(dense.rows("test"))))
+    assert report.n_weights == np.count_nonzero(best.weights)
