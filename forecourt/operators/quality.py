@@ -139,23 +139,20 @@ def margin_from_nearest(
             ).alias("donor"),
         )
     )
-    order = Window.orderBy("block")
+    # What follows is read backwards: a frame that ends with the last row is worked out anew for each row.
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         scores.groupBy("block")
         .agg(F.min("donor").alias("first"), F.max("donor").alias("last"))
         .select(
             "block",
-            F.last("last", ignorenulls=True)
-            .over(order.rowsBetween(Window.unboundedPreceding, -1))
-            .alias("before"),
-            F.first("first", ignorenulls=True)
-            .over(order.rowsBetween(1, Window.unboundedFollowing))
-            .alias("after"),
+            F.last("last", ignorenulls=True).over(ahead.orderBy("block")).alias("before"),
+            F.last("first", ignorenulls=True).over(ahead.orderBy(F.desc("block"))).alias("after"),
         )
     )
-    inside = Window.partitionBy("block").orderBy("score")
-    below = F.last("donor", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("donor", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    inside = Window.partitionBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    below = F.last("donor", ignorenulls=True).over(inside.orderBy("score"))
+    above = F.last("donor", ignorenulls=True).over(inside.orderBy(F.desc("score")))
     near = (
         scores.withColumn("below", below)
         .withColumn("above", above)

@@ -1,8 +1,10 @@
 import random
+from bisect import bisect_left
 
 import pytest
 from pyspark.sql import functions as F
 
+from forecourt.functions import frames
 from forecourt.functions.frames import lookup_where
 from forecourt.operators import cleaning as cl
 from forecourt.operators import cohorts as co
@@ -107,6 +109,26 @@ def test_nearest_margin_of_fractions(spark):
     assert got == {1: 100, 2: 300, 3: 300, 4: 100, 5: None, 6: None, 7: 100, 8: 70}
 
 
+def test_nearest_margin_of_many_scores_reads_no_range_anew(spark, monkeypatch):
+    plans, store = [], frames.stored
+    monkeypatch.setattr(frames, "stored", lambda df: plans.append(df._jdf.queryExecution().toString().lower()) or store(df))
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(10**9) / 10**4, i if i % 50 == 0 else 0) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "quote_id long, calculated_margin double, expected_margin int")
+    got = {r.quote_id: r.imputed_margin for r in qu.margin_from_nearest(df).collect()}
+    lent = {}
+    for k, s, m in rows:
+        if m:
+            lent.setdefault(s, m)
+    scores = sorted(lent)
+    for k, s, m in rows:
+        at = bisect_left(scores, s)
+        near = scores[max(at - 1, 0) : at + 1]
+        assert got[k] == (m or lent[min(near, key=lambda d: (abs(d - s), d))])
+    # Up to the last row, a frame is worked out for each row: time grows with the square of a range.
+    assert "unboundedpreceding" in plans[0] and "unboundedfollowing" not in plans[0]
+
+
 def test_nearest_margin_without_any_sale(spark):
     df = spark.createDataFrame([(1, 5, 0)], "quote_id long, calculated_margin int, expected_margin int")
     assert qu.margin_from_nearest(df).first().imputed_margin is None
