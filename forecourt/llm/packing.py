@@ -244,9 +244,9 @@ def cut(phases: list[Phase], window: int, queue: int, first: np.ndarray, count:
 def cut_small(
     phases: list[Phase], window: int, queue: np.ndarray, inner: list[list[Level]], first: np.ndarray, count: np.ndarray
 ) -> np.ndarray:
-    """The same for sources in buckets: each row has its bucket's queue and its source's path inside.
+    """The same for rows of any queues that one phase, the last, spends whole, all rows at once.
 
-    Buckets have no target, so one phase, the last, spends all of each.
+    Of a source in a bucket, a row has the bucket's queue and the source's path inside; buckets have no target.
     """
     kind = _kind(phases, window)
     outer = {int(q): phases[-1].path(int(q)) for q in np.unique(queue)}
@@ -387,15 +387,16 @@ def pack(
             queue = batch.column("queue").to_numpy()
             at, count = batch.column("at").to_numpy(), batch.column("n_tokens").to_numpy()
             found = []
-            for q in np.unique(queue[queue < len(number)]):
+            # Without targets there is one phase, and all rows are cut together.
+            for q in np.unique(queue[queue < len(number)]) if len(phases) > 1 else ():
                 rows = np.flatnonzero(queue == q)
                 part = cut(phases, window, int(q), at[rows], count[rows])
                 part[0] = rows[part[0]]
                 found.append(part)
-            rows = np.flatnonzero(queue >= len(number))
+            rows = np.flatnonzero((queue >= len(number)) | (len(phases) == 1))
             if len(rows):
                 levels = (batch.column(c).take(pa.array(rows)).to_pylist() for c in ("lefts", "boths", "rights"))
-                inner = [list(zip(*path, strict=True)) for path in zip(*levels, strict=True)]
+                inner = [list(zip(*(level or [] for level in path), strict=True)) for path in zip(*levels, strict=True)]
                 part = cut_small(phases, window, queue[rows], inner, at[rows], count[rows])
                 part[0] = rows[part[0]]
                 found.append(part)

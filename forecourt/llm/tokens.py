@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
-
-import numpy as np
+import struct
+from collections.abc import Callable
 
 from forecourt.llm.common import words
 
@@ -33,6 +32,11 @@ class _Known(dict):
     def __init__(self, learn: Callable[[str], bytes], most: int) -> None:
         self.learn, self.most, self.old = learn, most, {}
 
+    def found(self, word: str) -> bytes | None:
+        """The ids of ``word`` if they are here; nothing is learnt."""
+        ids = self.get(word)
+        return self.old.get(word) if ids is None else ids
+
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
@@ -49,7 +53,8 @@ class Encoder:
 
     Words of plain letters, digits and signs are split here and their pieces
     given to the tokenizer's model; all other words go through the whole
-    tokenizer. Both ways give the tokenizer's ids.
+    tokenizer. Both ways give the tokenizer's ids. Most words are one piece:
+    such a word isn't learnt again as a piece, nor a known piece as a word.
     """
 
     def __init__(self, path: str, kept: int = KEPT) -> None:
@@ -65,27 +70,36 @@ class Encoder:
         self.words = _Known(self._word, kept)
         self.pieces = _Known(self._piece, kept)
 
-    def _piece(self, piece: str) -> bytes:
+    def _ids(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() else piece.translate(self.letters)
-        return _packed(t.id for t in self.model.tokenize(spelled))
+        return _packed([t.id for t in self.model.tokenize(spelled)])
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.words.found(piece)
+        return self._ids(piece) if ids is None else ids
 
     def _word(self, word: str) -> bytes:
-        lower = word.lower()
-        if lower == word:
-            lower = word  # both stores then hold one text
-        # Most words are one piece; the alphabet's own methods are cheaper than patterns.
-        if lower.isascii() and lower.isalpha():
-            return self.pieces[lower]
-        if _PLAIN.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(lower)))
+        # The alphabet's own methods are cheaper than patterns.
+        if word.isascii():
+            if word.isalpha():
+                lower = word.lower()
+                if lower != word:
+                    return self.words[lower]
+                ids = self.pieces.found(word)
+                return self._ids(word) if ids is None else ids
+            plain = word.isprintable()
+        else:
+            plain = _PLAIN.fullmatch(word)
+        if plain and "<|" not in word:
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
         return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, words(text)))
 
 
-def _packed(ids: Iterable[int]) -> bytes:
-    return np.fromiter(ids, "<u4").tobytes()
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encode(path: str, text: str, kept: int = KEPT) -> bytes:

@@ -39,6 +39,15 @@ def test_ids_are_the_tokenizers():
         assert found == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_one_piece_are_learnt_once():
+    encoder = tokens.Encoder(TOKENIZER)
+    encoder.encode("haus Haus katze")
+    assert not {"haus", "katze"} & encoder.pieces.keys()
+    found = np.frombuffer(encoder.encode("(haus) hund, hund Hund!"), "<u4").tolist()
+    assert found == Tokenizer.from_file(TOKENIZER).encode("(haus) hund, hund Hund!", add_special_tokens=False).ids
+    assert encoder.words["hund"] is encoder.pieces["hund"]
+
+
 @pytest.mark.parametrize("targets", [None, {"a": 2.0, "b": 1.0}, {"none": 1.0}])
 def test_packing_covers_every_id_once(spark, targets):
     draw = random.Random(2)
@@ -84,6 +93,22 @@ def test_windows_hold_the_target_shares():
     assert cut[2].sum() == 5000 and (cut[3] > 0).all()
 
 
+def test_rows_of_all_queues_are_cut_at_once():
+    totals = [5, 90_000, 0, 7_000, 1, 30_000]
+    phases = packing.schedule(totals)
+    queue = np.repeat([3, 1, 5, 0, 4], [2, 3, 2, 1, 1])
+    count = np.array([3_000, 4_000, 1, 60_000, 29_999, 10_000, 20_000, 5, 1])
+    first = np.array([0, 3_000, 0, 1, 60_001, 0, 10_000, 0, 0])
+    alone = []
+    for q in np.unique(queue):
+        rows = np.flatnonzero(queue == q)
+        part = packing.cut(phases, 512, int(q), first[rows], count[rows])
+        part[0] = rows[part[0]]
+        alone.append(part)
+    together = packing.cut_small(phases, 512, queue, [[]] * len(queue), first, count)
+    assert sorted(map(tuple, np.concatenate(alone, axis=1).T)) == list(map(tuple, together.T))
+
+
 def test_packing_empty_table(spark):
     assert packing.pack(documents(spark, []), TOKENIZER).count() == 0
 
